@@ -1,3 +1,5 @@
 """Operators for training data. Nothing outside this folder imports it."""
 
-MODULES = []
+from palimpsest.llm import conversations
+
+MODULES = [conversations]
