@@ -1,5 +1,5 @@
 """Operators for training data. Nothing outside this folder imports it."""
 
-from palimpsest.llm import conversations
+from palimpsest.llm import conversations, pii
 
-MODULES = [conversations]
+MODULES = [conversations, pii]
