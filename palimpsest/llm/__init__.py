@@ -1,5 +1,5 @@
 """Operators for training data. Nothing outside this folder imports it."""
 
-from palimpsest.llm import conversations, pii
+from palimpsest.llm import conversations, pii, truncation
 
-MODULES = [conversations, pii]
+MODULES = [conversations, pii, truncation]
