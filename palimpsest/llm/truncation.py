@@ -136,9 +136,9 @@ def longer_copies(stems: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def end_shares(texts: DataFrame, tails: DataFrame) -> DataFrame:
-    """How often each tail's last words end a sentence or line: key, unit, share, word_share, more.
+    """How often each tail's last words end a sentence or line: key, unit, share, word_share, more, ended.
 
-    ``texts``: distinct stems; ``tails``: key, w1, w2, frag, unit. ``more``: occurrences that go on, in the word or behind it.
+    ``texts``: distinct stems; ``tails``: key, w1, w2, frag, unit. ``more``: occurrences that go on, in the word or behind it; ``ended``: times the last three words end a sentence or line.
     ``word_share`` is of the last word alone.
     The share of the last three words is drawn to that of two, and that to one word's, as if seen BACKOFF times.
     """
@@ -166,7 +166,7 @@ def end_shares(texts: DataFrame, tails: DataFrame) -> DataFrame:
         share = (ended + BACKOFF * share) / (ended + m + BACKOFF)
         more = m + more
         shares[order] = share
-    return out.select("key", "unit", shares[3].alias("share"), shares[1].alias("word_share"), more.alias("more"))
+    return out.select("key", "unit", shares[3].alias("share"), shares[1].alias("word_share"), more.alias("more"), F.coalesce("e3", F.lit(0)).alias("ended"))
 
 
 def limits(docs: DataFrame, length: str) -> DataFrame:
@@ -195,7 +195,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     docs = docs.withColumns({"key": _key(F.col("stem")), "chars": F.length("text"), "bytes": F.octet_length("text")})
     dots = F.col("text").rlike(r"(?:…|\.\.\.)\s*$")
     fence = ((F.size(F.split("stem", "```", -1)) % 2 == 0) & ~dots) | F.regexp_extract("stem", r"([^\n]*)$", 1).rlike(r"^\{.*[^}]$")
-    slim = cut(docs.select("doc_id", "source", "key", "chars", "bytes", fence.alias("unclosed"), (~F.col("stem").rlike(_TERMINAL) & (F.length("stem") > 0)).alias("unended"), F.col("text").endswith("�").alias("broken"), dots.alias("dots")))
+    slim = cut(docs.select("doc_id", "source", "key", "chars", "bytes", fence.alias("unclosed"), (~F.col("stem").rlike(_TERMINAL) & (F.length("stem") > 0)).alias("unended"), F.col("text").endswith("�").alias("broken"), dots.alias("dots"), F.col("stem").rlike(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])\s[^\n]*$").alias("item")))
     stems = cut(docs.where(F.length("stem") > 0).groupBy("stem").agg(F.first("key").alias("key")))
     longer = longer_copies(stems)
     goes_on = longer.join(stems, "key").select(
@@ -216,7 +216,8 @@ def truncated(documents: DataFrame) -> DataFrame:
         .join(octets.withColumn("at_bytes", F.lit(True)), ["source", "bytes"], "left")
     )
     share = F.when(F.col("dots") | (F.col("unit") <= SHORT), F.greatest("share", "word_share")).otherwise(F.col("share"))
-    broken_off = F.col("unended") & (share < END_SHARE) & (F.col("more") > 0)
+    item = F.col("item") & (F.col("ended") >= 2)  # an item of a list that others hold too
+    broken_off = F.col("unended") & ~item & (share < END_SHARE) & (F.col("more") > 0)
     by_copy = F.coalesce("goes_on", F.lit(False))
     limit = F.coalesce("at_chars", "at_bytes", F.lit(False))
     is_cut = by_copy | F.coalesce(broken_off, F.lit(False)) | limit | F.col("unclosed") | F.coalesce("broken", F.lit(False))
