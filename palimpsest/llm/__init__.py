@@ -1,5 +1,5 @@
 """Operators for training data. Nothing outside this folder imports it."""
 
-from palimpsest.llm import boilerplate, conversations, pii, truncation
+from palimpsest.llm import boilerplate, conversations, name_variants, pii, truncation
 
-MODULES = [boilerplate, conversations, pii, truncation]
+MODULES = [boilerplate, conversations, name_variants, pii, truncation]
