@@ -1,5 +1,5 @@
 """Operators for training data. Nothing outside this folder imports it."""
 
-from palimpsest.llm import boilerplate, conversations, name_variants, pii, similar_vectors, truncation
+from palimpsest.llm import boilerplate, conversations, mixing, name_variants, packing, pii, similar_vectors, truncation
 
-MODULES = [boilerplate, conversations, name_variants, pii, similar_vectors, truncation]
+MODULES = [boilerplate, conversations, mixing, name_variants, packing, pii, similar_vectors, truncation]

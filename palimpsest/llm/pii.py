@@ -298,8 +298,8 @@ def name_parts(entities: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.trim(F.lower(F.col("name"))), rf"^(?:{'|'.join(TITLES)})\.?\s+", "")
     bare = F.regexp_replace(bare, r"['’]s$|\s+\p{L}\.(?=\s)", "")
     words = entities.withColumn("w", F.split(F.regexp_replace(bare, r"\s+", " "), " "))
-    pairs = words.where((F.size("w") == 2) & F.col("w")[0].rlike(r"^\p{L}[\p{L}'’-]+$") & F.col("w")[1].rlike(r"^\p{L}[\p{L}'’-]{2,}$"))
-    pairs = pairs.select(F.col("w")[0].alias("g"), F.col("w")[1].alias("f"), "type").distinct()
+    pairs = words.where((F.size("w") == 2) & F.get("w", F.lit(0)).rlike(r"^\p{L}[\p{L}'’-]+$") & F.get("w", F.lit(1)).rlike(r"^\p{L}[\p{L}'’-]{2,}$"))
+    pairs = pairs.select(F.get("w", F.lit(0)).alias("g"), F.get("w", F.lit(1)).alias("f"), "type").distinct()
     given = pairs.where("type = 'person'").groupBy("g").agg(F.countDistinct("f").alias("n"), F.count_if(F.length("f") > 3).alias("m")).where("n >= 2")
     family = pairs.join(given, "g", "left_semi").groupBy("f").agg(F.countDistinct("g").alias("n"))
     return given.select(F.col("g").alias("part"), F.lit("G").alias("role")).union(family.select("f", F.lit("F")))
