@@ -33,3 +33,22 @@ def carry_next(df: DataFrame, keys: list[str], block: str, order: str, value: Co
     """As carry_last, of the rows after this one."""
     turned = df.withColumns({"_block": -F.col(block), "_order": -F.col(order)})
     return carry_last(turned, keys, "_block", "_order", value, out).drop("_block", "_order")
+
+
+def ranked(df: DataFrame, keys: list[str], block: str, order: list[str], out: str = "rank") -> DataFrame:
+    """Adds ``out``: the row's number from 1 within ``keys`` by ``block`` and then ``order``; blocks are numbered on their own."""
+    within = F.row_number().over(Window.partitionBy(*keys, block).orderBy(*order))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(*keys, block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return df.withColumn(out, within).join(offsets, [*keys, block]).withColumn(out, (F.col(out) + F.col("_offset")).cast("bigint")).drop("_offset")
+
+
+def running_sum(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows up to this one, by ``block`` and then ``order``."""
+    df = df.withColumn("_value", value)
+    upto = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, block).agg(F.sum("_value").alias("_s"))
+    offsets = sums.select(*keys, block, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
+    return df.withColumn(out, F.sum("_value").over(upto)).join(offsets, [*keys, block]).withColumn(out, F.col(out) + F.col("_offset")).drop("_value", "_offset")
