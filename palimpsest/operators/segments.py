@@ -52,3 +52,24 @@ def running_sum(df: DataFrame, keys: list[str], block: str, order: list[str], va
     sums = df.groupBy(*keys, block).agg(F.sum("_value").alias("_s"))
     offsets = sums.select(*keys, block, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
     return df.withColumn(out, F.sum("_value").over(upto)).join(offsets, [*keys, block]).withColumn(out, F.col(out) + F.col("_offset")).drop("_value", "_offset")
+
+
+def value_at(df: DataFrame, keys: list[str], value: str, width: float, ranks: dict[str, Column]) -> DataFrame:
+    """Values at places of each group's ascending order: keys, n, and a column for each of ``ranks`` (0-based, from column n).
+
+    Equal values are counted first, counts are summed in bins of ``width``, so no group is sorted in one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_bin", F.floor(F.col(value) / width))
+    upto = running_sum(counts, keys, "_bin", [value], F.col("_c"), "_upto")
+    n = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    at = upto.join(n, keys).withColumn("_from", F.col("_upto") - F.col("_c"))
+    found = [F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col(value))).alias(name) for name, rank in ranks.items()]
+    return at.groupBy(*keys).agg(F.max("n").alias("n"), *found)
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, width: float, out: str = "median") -> DataFrame:
+    """Median of each group, the mean of the two middle values: keys, n, ``out``."""
+    n = F.col("n")
+    found = value_at(df, keys, value, width, {"_low": F.floor((n - 1) / 2), "_high": F.floor(n / 2)})
+    return found.select(*keys, "n", ((F.col("_low") + F.col("_high")) / 2).alias(out))
