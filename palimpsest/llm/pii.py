@@ -18,7 +18,7 @@ from palimpsest.sources.tables import table
 PASS_NAMES = 200_000
 
 # Titles before names, in four languages.
-TITLES = "mr mrs ms miss dr prof sir herr frau m mme mlle monsieur madame sr sra srta señor señora don doña doctor".split()
+TITLES = "mr mrs ms miss dr prof sir herr frau mme mlle monsieur madame sr sra srta señor señora don doña doctor".split()
 # Given names that are also English words or months; alone they need a context.
 WORDY = "may mark hope grace rose will bill art june april august dawn faith joy ivy jack frank sue pat rob drew chase miles ray dean olive iris sandy penny victor christian max rich grant wade clay cliff heath reed dale glen lane holly daisy lily violet ruby pearl amber jade summer autumn".split()
 # Public top-level domains that look like file endings never end an address.
@@ -140,7 +140,8 @@ def _ids(text: str, cued: bool) -> list[tuple[str, int, int]]:
         s = m.group().replace("-", "")
         if s[:8].isdigit() and len(s) == 9 and s[8].isalpha() and _DNI_LETTERS[int(s[:8]) % 23] != s[8]:
             continue
-        out.append(("id_number", m.start(), m.end()))
+        if not any(m.start() < b and a < m.end() for _, a, b in out):
+            out.append(("id_number", m.start(), m.end()))
     return out
 
 

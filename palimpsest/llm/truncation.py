@@ -170,13 +170,14 @@ def end_shares(texts: DataFrame, tails: DataFrame) -> DataFrame:
 
 
 def limits(docs: DataFrame, length: str) -> DataFrame:
-    """(source, ``length``) pairs at which texts of a source were cut by a limit."""
-    counts = docs.groupBy("source", length).agg(F.countDistinct("key").alias("n"))
+    """(source, ``length``) pairs at which texts of a source were cut by a limit: far more than around, and mostly without an end."""
+    texts = docs.groupBy("source", length, "key").agg(F.max("unended").alias("unended"))
+    counts = texts.groupBy("source", length).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("unended").cast("int")).alias("unended"))
     near = counts.withColumn("near", F.floor(F.col(length) / LIMIT_AROUND))
     around = near.groupBy("source", "near").agg((F.sum("n")).alias("all"))
     near = near.where(F.col("n") >= LIMIT_LEAST).join(around, ["source", "near"])
     mean = (F.col("all") - F.col("n")) / (LIMIT_AROUND - 1)
-    return near.where((F.col("n") >= LIMIT_TIMES * mean) & (F.col(length) > LIMIT_AROUND)).select("source", length)
+    return near.where((F.col("n") >= LIMIT_TIMES * mean) & (F.col(length) > LIMIT_AROUND) & (F.col("unended") >= 0.5)).select("source", length)
 
 
 def norm_source(source: Column) -> Column:
