@@ -31,7 +31,8 @@ FLUSH = 400_000
 _TOKEN = re.compile(r"\w+|\n|[^\w\s]")
 _DIGITS = re.compile(r"\d+")
 _JOIN = frozenset(("and", "und", "et", "y"))
-_TERMINAL = r"[.!?)\]}\"»”`:;]$"
+_TERMINAL = r"[.!?)\]}\"»”`:;]"
+_SHOWS_NOTHING = " \t\n\r\x0b\x0c\u00a0…�"
 
 
 def _words(text: str) -> list[tuple[str, str]]:
@@ -90,8 +91,13 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stem(text: Column) -> Column:
-    """The text without blanks, dots of omission and broken characters at its end."""
-    return F.regexp_replace(text, "(?:[\\s…�]|\\.\\.\\.)+$", "")
+    """The text without blanks, dots of omission and broken characters at its end; a lone full stop stays."""
+    trimmed = F.rtrim(text, F.lit(_SHOWS_NOTHING))
+    return F.when(trimmed.endswith("..."), F.rtrim(text, F.lit(_SHOWS_NOTHING + "."))).otherwise(trimmed)
+
+
+def _ends(text: Column) -> Column:
+    return F.right(text, F.lit(1)).rlike(_TERMINAL)
 
 
 def _key(text: Column) -> Column:
@@ -194,19 +200,22 @@ def truncated(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select("doc_id", norm_source(F.col("source")).alias("source"), "text").withColumn("stem", stem(F.coalesce("text", F.lit(""))))
     docs = docs.withColumns({"key": _key(F.col("stem")), "chars": F.length("text"), "bytes": F.octet_length("text")})
-    dots = F.col("text").rlike(r"(?:…|\.\.\.)\s*$")
-    fence = ((F.size(F.split("stem", "```", -1)) % 2 == 0) & ~dots) | F.regexp_extract("stem", r"([^\n]*)$", 1).rlike(r"^\{.*[^}]$")
-    slim = cut(docs.select("doc_id", "source", "key", "chars", "bytes", fence.alias("unclosed"), (~F.col("stem").rlike(_TERMINAL) & (F.length("stem") > 0)).alias("unended"), F.col("text").endswith("�").alias("broken"), dots.alias("dots"), F.col("stem").rlike(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])\s[^\n]*$").alias("item")))
+    shown = F.rtrim(F.col("text"), F.lit(" \t\n\r"))
+    dots = shown.endswith("…") | shown.endswith("...")
+    last_line = F.substring_index("stem", "\n", -1)
+    fences = F.length("stem") - F.length(F.replace("stem", F.lit("```"), F.lit("``")))
+    fence = ((fences % 2 == 1) & ~dots) | (last_line.startswith("{") & ~last_line.endswith("}"))
+    slim = cut(docs.select("doc_id", "source", "key", "chars", "bytes", fence.alias("unclosed"), (~_ends(F.col("stem")) & (F.length("stem") > 0)).alias("unended"), F.col("text").endswith("�").alias("broken"), dots.alias("dots"), last_line.rlike(r"^\s*(?:[-*•]|\d+[.)])\s").alias("item")))
     stems = cut(docs.where(F.length("stem") > 0).groupBy("stem").agg(F.first("key").alias("key")))
     longer = longer_copies(stems)
     goes_on = longer.join(stems, "key").select(
         "key",
         (
-            (F.col("stem").rlike(r"\w$") & F.col("follows").rlike(r"^\w"))
-            | (~F.col("stem").rlike(_TERMINAL) & ~F.col("follows").rlike(r"^(?:\n|[\s.…!?]*$)"))
+            (F.right("stem", F.lit(1)).rlike(r"\w") & F.col("follows").rlike(r"^\w"))
+            | (~_ends(F.col("stem")) & ~F.col("follows").rlike(r"^(?:\n|[\s.…!?]*$)"))
         ).alias("goes_on"),
     )
-    open_stems = stems.where(~F.col("stem").rlike(_TERMINAL))
+    open_stems = stems.where(~_ends(F.col("stem")))
     tails = cut(open_stems.select("key", "stem").mapInArrow(_tails, "key string, w1 string, w2 string, frag string, unit int"))
     shares = end_shares(stems, tails)
     chars, octets = limits(slim, "chars"), limits(slim, "bytes")
