@@ -209,6 +209,8 @@ def _names(text: str, hits: list[tuple[int, int, str]], taken: list[tuple[str, i
                     stop, paired = nxt.end(2), True
                 elif nxt.group(1) and nxt.group(1).isupper():
                     stop, paired = nxt.end(1) + 1, True
+                elif word[0].isupper() and two[0].isupper() and len(two) > 3 and two.lower() not in _NO_NAME and _AFTER.match(text, nxt.end(2)):
+                    stop, paired = nxt.end(2), True
             elif nxt and nxt.group(3) and nxt.group(3).isupper():
                 stop, paired = nxt.end(3) + 1, True
         if not paired and kind in "FB":
