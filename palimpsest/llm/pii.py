@@ -222,7 +222,7 @@ def _names(text: str, hits: list[tuple[int, int, str]], taken: list[tuple[str, i
                 continue
             if kind in "GB" and word.lower() in WORDY:
                 before, after = text[max(0, start - 24) : start], text[end : end + 24]
-                if not (_BEFORE.search(before) or _AFTER.match(after)) or re.match(r" (?:the|is|a|an)\b", after):
+                if not (_BEFORE.search(before) or _AFTER.match(after)) or re.match(r" (?:the|is|an|a(?! laissé))\b", after):
                     continue
                 if word.lower() in ("may", "june", "april", "august") and re.search(r"(?:\d|\b(?:in|of|until|since|by|from|to|and|for)) $", before):
                     continue
