@@ -19,7 +19,7 @@ from palimpsest.sources.tables import table
 
 K = 10
 #: Vectors (by a hash of the id, evenly over the group) from which a group's pivots are drawn, and pivots by size of the group.
-SAMPLE, PIVOTS_LEAST, PIVOTS_MOST = 4096, 16, 256
+SAMPLE, PIVOTS_LEAST, PIVOTS_MOST = 4096, 16, 2048
 #: Pivots of a vector's order, those it is posted under, and those a query looks under.
 ORDER, POSTED, LOOKED = 16, 6, 8
 #: Candidates of a posting list kept by footrule for the comparison by cosine, for each wanted neighbour.
