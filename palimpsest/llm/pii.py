@@ -186,6 +186,8 @@ def _names(text: str, hits: list[tuple[int, int, str]], taken: list[tuple[str, i
             initial = _INITIAL_NEXT.match(text, end)
             if initial:
                 part = _PART.match(text, initial.end())
+            if part and part.group().lower() in TITLES:
+                continue
             if not part or not (part.group()[0].isupper() and len(part.group()) > 1) or not text[start].isupper():
                 continue
             first, stop = initial.start() if initial else part.start(), part.end()

@@ -26,6 +26,7 @@ def machine():
         ("May is dry. Hope the box fits. The grace period ends. Tessel, please.", []),
         ("Did May reply about it? Lunch with Hope at 9:30.", [("name", "May"), ("name", "Hope")]),
         ("Mr Garhadson left. Zolvudan told me the pump is old.", [("name", "Garhadson"), ("name", "Zolvudan")]),
+        ("Prof. Dr. Garhadson left", [("name", "Garhadson")]),
         ("MARIA’s list, René", [("name", "MARIA"), ("name", "René")]),
         ("", []),
     ],
