@@ -59,6 +59,14 @@ def _words(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def _in_context(words: list[tuple[str, str]]) -> Iterator[tuple[str, str, str, str]]:
+    """(two words before, word, what follows); ^ stands before the first word behind a sentence, line or mark."""
+    a, b = "", "^"
+    for word, follows in words:
+        yield a, b, word, follows
+        a, b = (b, word) if follows == "M" else ("", "^")
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -71,10 +79,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            a = b = ""
-            for word, follows in _words(text):
-                counts[a, b, word, follows] += 1
-                a, b = b, word
+            counts.update(_in_context(_words(text)))
         if len(counts) > FLUSH:
             yield flush()
     yield flush()
@@ -84,7 +89,7 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Last three words of each stem, and how many words its last sentence or line has."""
     for batch in batches:
         words = [_words(t[-400:]) for t in batch.column(1).to_pylist()]
-        found = [[""] * (3 - len(x[-3:])) + [w for w, _ in x[-3:]] for x in words]
+        found = [([("", "^", "", "")] + list(_in_context(x)))[-1][:3] for x in words]
         units = [next((n for n, (_, follows) in enumerate(reversed(x[:-1]), 1) if follows != "M"), len(x)) for x in words]
         columns = [batch.column(0), *(pa.array([x[j] for x in found], pa.string()) for j in range(3)), pa.array(units, pa.int32())]
         yield pa.RecordBatch.from_arrays(columns, ["key", "w1", "w2", "frag", "unit"])
@@ -204,7 +209,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     dots = shown.endswith("…") | shown.endswith("...")
     last_line = F.substring_index("stem", "\n", -1)
     fences = F.length("stem") - F.length(F.replace("stem", F.lit("```"), F.lit("``")))
-    fence = ((fences % 2 == 1) & ~dots) | (last_line.startswith("{") & ~last_line.endswith("}"))
+    fence = ((fences % 2 == 1) & ~dots & ~F.col("stem").endswith("```")) | (last_line.startswith("{") & ~last_line.endswith("}"))
     slim = cut(docs.select("doc_id", "source", "key", "chars", "bytes", fence.alias("unclosed"), (~_ends(F.col("stem")) & (F.length("stem") > 0)).alias("unended"), F.col("text").endswith("�").alias("broken"), dots.alias("dots"), last_line.rlike(r"^\s*(?:[-*•]|\d+[.)])\s").alias("item")))
     stems = cut(docs.where(F.length("stem") > 0).groupBy("stem").agg(F.first("key").alias("key")))
     longer = longer_copies(stems)
@@ -218,7 +223,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     open_stems = stems.where(~_ends(F.col("stem")))
     tails = cut(open_stems.select("key", "stem").mapInArrow(_tails, "key string, w1 string, w2 string, frag string, unit int"))
     shares = end_shares(stems, tails)
-    chars, octets = limits(slim, "chars"), limits(slim, "bytes")
+    chars = cut(limits(slim, "chars"))
+    octets = limits(slim.join(chars, ["source", "chars"], "left_anti"), "bytes")  # else a mark of omission would make a limit in bytes of one in characters
     judged = (
         slim.join(goes_on, "key", "left")
         .join(shares, "key", "left")
