@@ -52,3 +52,25 @@ def resolve_chains(nodes: DataFrame, node: str = "node", parent: str = "parent",
         F.when(done, F.col("depth")).alias("depth"),
         F.when(~done, "cycle").when(F.col("orphan"), "orphan").otherwise("ok").alias("status"),
     )
+
+
+def linked_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Groups of linked nodes: ``node``, ``root`` (the smallest node of the group).
+
+    ``nodes``: node; ``edges``: a, b, in any direction. Each round a group takes over the smallest root next to any of its
+    nodes, and every node then the root of its root, so a path of n nodes takes about log2(n) rounds. Edges with a null
+    or an end that is no node, loops and repeated rows change nothing; an empty table gives no rows.
+    """
+    state = nodes.where("node is not null").select("node").distinct().withColumn("root", F.col("node"))
+    ends = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    both = cut(ends.union(ends.select("b", "a")).distinct())
+    while True:
+        near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "node")
+        seen = state.join(near, "node", "left").withColumn("near", F.least("root", F.coalesce("near", "root")))
+        taken = seen.groupBy("root").agg(F.min("near").alias("new"))
+        moved = state.join(taken, "root").select("node", "root", "new")
+        above = taken.select(F.col("root").alias("new"), F.col("new").alias("newer"))
+        step = cut(moved.join(above, "new", "left").select("node", "root", F.least("new", F.coalesce("newer", "new")).alias("new")))
+        state = step.select("node", F.col("new").alias("root"))
+        if step.where("new <> root").isEmpty():
+            return state
