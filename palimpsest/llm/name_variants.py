@@ -1,65 +1,102 @@
 """Variant spellings of one person or organisation (problem 4).
 
-Names are taken apart into a main part (family name, stem of a firm) and a second part (given name, trade). Parts are
-joined with similar ones by tries that Levenshtein automata walk; a spelling points at the best supported similar name,
-in either order of its parts, and pointer jumping gives the groups.
+A name is two words: given and family name of a person, stem and trade of a firm. Similar words are found by tries that
+Levenshtein automata walk. A name points at the best supported name whose words, in either order, are its own or better
+supported neighbours of its own, and linked names are a group.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import norm_entity
 from palimpsest.llm.names import GIVEN, LEGAL_FORMS, SHORT_FORMS
-from palimpsest.operators.chains import resolve_chains
+from palimpsest.operators.chains import linked_groups
 from palimpsest.session import cut
 from palimpsest.sources.tables import table
 
-#: Most edits (a swap of neighbours is one) between similar parts, and over both parts of a name.
-PART_EDITS, NAME_EDITS = 2, 3
-#: A part is established if it stands with so many different others; two established parts are never variants,
-#: nor are names two edits apart that both have so many spellings, or firms of different legal forms.
-ESTABLISHED = 3
-#: A word in this share of the firms' names, mostly not the first, is a trade.
+#: Most edits (a swap of neighbours is one) between similar words, and over both words of a name.
+WORD_EDITS, NAME_EDITS = 2, 3
+#: Two words are both in use, and no variants of each other, if the rarer one stands with this share of the number of
+#: different words that the other stands with, but at least with LEAST of them.
+USE_SHARE, LEAST = 0.2, 3
+#: A word in this share of the firms' names, mostly not the first, is a trade; so there are at most 1 / TRADE_SHARE for each word of a name.
 TRADE_SHARE = 0.004
-SHARDS = 256
+#: Most words of a shard on either side; a larger one is walked in blocks.
+BLOCK_WORDS = 2000
+#: Marks the trade of a firm, so that it is no person's name.
+TRADE = "~"
 
 _ACCENTS = ("àáâãäåāăąçćčďđèéêëēėęěğìíîïīįıłñńňòóôõöøōőŕřśšşťţùúûüūůűųýÿžźżœæßþ", "aaaaaaaaacccddeeeeeeeegiiiiiiilnnnoooooooorrsssttuuuuuuuuyyzzzoasp")
 _TITLES = frozenset("mr mrs ms miss dr prof sir herr frau mme mlle sr sra srta".split())
-_FOLDS = ((r"ph", "f"), (r"rn", "m"), (r"y", "i"), (r"w", "v"), (r"z", "s"), (r"ck|c|q", "k"), (r"(.)\1+", r"\1"))
+_FOLDS = str.maketrans("ywzcq", "ivskk")
+_DOUBLE = re.compile(r"(.)\1+")
 
 
 def plain(name: str) -> str:
     return (name or "").lower().translate(str.maketrans(*_ACCENTS))
 
 
-def fold(part: str) -> str:
-    """Letters that are often taken for each other made equal."""
-    for pattern, by in _FOLDS:
-        part = re.sub(pattern, by, part)
-    return part
+def fold(word: str) -> str:
+    """Letters that are often taken for each other made equal; no word gets longer or shorter by it."""
+    return word.translate(_FOLDS)
 
 
-def osa(a: str, b: str, most: int) -> int:
+def forms_of(word: str) -> set[str]:
+    """The folded word, and with pairs of letters that are taken for one, and double ones, drawn together."""
+    folded = fold(word)
+    return {folded, _DOUBLE.sub(r"\1", folded.replace("ph", "f").replace("rn", "m"))}
+
+
+def bound(length: int) -> int:
+    """Edits allowed between a word of so many letters and a longer one; shorter words than three only equal themselves."""
+    return 0 if length < 3 else 1 if length < 6 else WORD_EDITS
+
+
+class Automaton:
+    """Levenshtein automaton of a word for at most ``most`` edits, swaps of neighbours included.
+
+    A state holds, for each number of edits, the set of the word's places that can be reached with them, and the places
+    from which a swap is half done; sets are bits of an integer. The state after a letter that leads nowhere is None.
+    """
+
+    def __init__(self, word: str, most: int):
+        self.end, self.most = 1 << len(word), most
+        self.masks: dict[str, int] = {}
+        for i, c in enumerate(word, 1):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+        self.start = ([(1 << (k + 1)) - 1 for k in range(most + 1)], [0] * (most + 1))
+
+    def step(self, state: tuple[list[int], list[int]], letter: str) -> tuple[list[int], list[int]] | None:
+        mask, (reached, halves) = self.masks.get(letter, 0), state
+        now, swaps = [(reached[0] << 1) & mask], [0]
+        for k in range(1, self.most + 1):
+            before = reached[k - 1]
+            now.append(((reached[k] << 1) & mask) | before | (before << 1) | (now[k - 1] << 1) | (halves[k] & (mask << 1)))
+            swaps.append((before << 2) & mask)
+        return (now, swaps) if now[-1] or swaps[-1] else None
+
+    def edits(self, state: tuple[list[int], list[int]]) -> int | None:
+        return next((k for k, places in enumerate(state[0]) if places & self.end), None)
+
+
+def edits_between(a: str, b: str, most: int) -> int:
     """Edits between two words, a swap of neighbours counting one; most + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        two, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            n = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                n = min(n, two[j - 2] + 1)
-            row.append(n)
-        if min(row) > most and (not before or min(before) > most):
+    automaton = Automaton(a, most)
+    state = automaton.start
+    for letter in b:
+        state = automaton.step(state, letter)
+        if state is None:
             return most + 1
-    return min(row[-1], most + 1)
+    found = automaton.edits(state)
+    return most + 1 if found is None else found
 
 
 def trie(words: list[str]) -> dict:
@@ -73,90 +110,114 @@ def trie(words: list[str]) -> dict:
 
 
 def within(root: dict, word: str, most: int) -> Iterator[tuple[str, int]]:
-    """Words of a trie at most ``most`` edits from ``word``: the automaton's states are rows of edits, and a branch
-    whose state holds none below the bound isn't walked."""
-    first = tuple(range(len(word) + 1))
-    stack = [(root, "", first, ())]
+    """Words of a trie at most ``most`` edits from ``word``; a branch that the automaton can't follow isn't walked."""
+    automaton = Automaton(word, most)
+    stack = [(root, automaton.start)]
     while stack:
-        node, last, row, before = stack.pop()
+        node, state = stack.pop()
         for c, child in node.items():
             if c == "":
-                if row[-1] <= most:
-                    yield child, row[-1]
-                continue
-            new = [row[0] + 1]
-            for j, y in enumerate(word, 1):
-                n = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != y))
-                if before and j > 1 and c == word[j - 2] and last == y:
-                    n = min(n, before[j - 2] + 1)
-                new.append(n)
-            if min(new) <= most or min(row) <= most:
-                stack.append((child, c, tuple(new), row))
-
-
-def _bound(length: int) -> int:
-    """Single edits to allow for: a swap is two of them."""
-    return 3 if length >= 7 else 2 if length >= 5 else 1
-
-
-def segments(word: str) -> list[tuple[int, int, str]]:
-    """The word in one more part than the edits allowed, as (number, start, letters): one of them survives."""
-    n = min(_bound(len(word)) + 1, len(word))
-    size, more = divmod(len(word), n)
-    out, at = [], 0
-    for i in range(n):
-        stop = at + size + (i >= n - more)
-        out.append((i, at, word[at:stop]))
-        at = stop
-    return out
-
-
-def similar_parts(parts: DataFrame) -> DataFrame:
-    """Pairs of different ``part`` values at most PART_EDITS edits apart, as written or folded: part, other, edits.
-
-    Parts are sharded by their segments; a shard's words form a trie, which the words that share the segment, shifted
-    by at most the edits allowed, walk. Words below three letters only equal themselves. Both directions are given.
+                edits = automaton.edits(state)
+                if edits is not None:
+                    yield child, edits
+            elif (new := automaton.step(state, c)) is not None:
+                stack.append((child, new))
+
+
+def _cuts(length: int, most: int) -> list[tuple[int, int]]:
+    """Start and length of a word's segments, one more than the edits allowed: one of them survives any such edits."""
+    size, more = divmod(length, most + 1)
+    lengths = [size + (i >= most + 1 - more) for i in range(most + 1)]
+    return [(sum(lengths[:i]), n) for i, n in enumerate(lengths)]
+
+
+def shard_keys(word: str) -> set[str]:
+    """Shards that hold a word: its segments by place and length of the word. A swap over the border of two segments
+    breaks both, so they are also taken from the word with that swap undone."""
+    most = bound(len(word))
+    if not most:
+        return set()
+    cuts = _cuts(len(word), most)
+    keys = {f"{len(word)}:{i}:{word[a : a + n]}" for i, (a, n) in enumerate(cuts)}
+    for i, (b, _) in enumerate(cuts[1:], 1):
+        turned = word[: b - 1] + word[b] + word[b - 1] + word[b + 1 :]
+        keys |= {f"{len(word)}:{j}:{turned[cuts[j][0] : cuts[j][0] + cuts[j][1]]}" for j in (i - 1, i)}
+    return keys
+
+
+def asked_keys(word: str) -> set[str]:
+    """Shards in which a word looks for words of its own length or less: its substrings where a surviving segment can be."""
+    keys = set()
+    for length in range(max(3, len(word) - WORD_EDITS), len(word) + 1):
+        most, more = bound(length), len(word) - length
+        if not most or more > most:
+            continue
+        for i, (at, n) in enumerate(_cuts(length, most)):
+            low, high = max(0, at - i, at + more - (most - i)), min(len(word) - n, at + i, at + more + (most - i))
+            keys |= {f"{length}:{i}:{word[a : a + n]}" for a in range(low, high + 1)}
+    return keys
+
+
+def similar_words(words: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """Pairs of different ``word`` values that are similar as written or folded: word < other, edits (1 to WORD_EDITS).
+
+    Words are sharded by the segments of their folded form; a shard's words make a trie, which the automata of the
+    words that may be similar walk. Shards without such words aren't built, larger ones than ``block`` are walked in
+    blocks. Letters that folding made equal count one edit in all. Nulls, empty words and repeated ones give nothing.
     """
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for part in frame["part"]:
-                for word in {part, fold(part)}:
-                    if len(word) < 3:
-                        continue
-                    for i, _, letters in segments(word):
-                        rows.append((f"{i}:{len(word)}:{letters}", part, word, True))
-                    most = _bound(len(word))
-                    for length in range(max(3, len(word) - most), len(word) + most + 1):
-                        for i, at, letters in segments("x" * length):
-                            for start in range(max(0, at - most), min(len(word) - len(letters), at + most) + 1):
-                                rows.append((f"{i}:{length}:{word[start : start + len(letters)]}", part, word, False))
-            yield pd.DataFrame(rows, columns=["key", "part", "word", "indexed"]).drop_duplicates()
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        out = set()
-        for _, shard in frame.groupby("key", sort=False):
-            indexed = shard[shard["indexed"]]
-            if len(indexed) == 0:
-                continue
-            owners = defaultdict(set)
-            for part, word in zip(indexed["part"], indexed["word"], strict=True):
-                owners[word].add(part)
+            rows = {(key, word, form, side) for word in frame["word"] for form in forms_of(word) for side, keys in ((True, shard_keys(form)), (False, asked_keys(form))) for key in keys}
+            yield pd.DataFrame(list(rows), columns=["key", "word", "form", "indexed"])
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set = set()
+
+        def shard(rows: list[tuple]) -> Iterator[tuple[str, str, int]]:
+            owners: dict[str, list[str]] = {}
+            for *_, word, form, indexed in rows:
+                if indexed:
+                    owners.setdefault(form, []).append(word)
             root = trie(list(owners))
-            asked = shard[~shard["indexed"]]
-            for part, word in zip(asked["part"], asked["word"], strict=True):
-                for found, edits in within(root, word, PART_EDITS if len(word) >= 6 else 1):
+            for *_, word, form, indexed in rows:
+                if indexed:
+                    continue
+                for found, edits in within(root, form, WORD_EDITS):
+                    if len(found) > len(form) or edits > bound(len(found)):
+                        continue
                     for other in owners[found]:
-                        cost = max(1, edits + (word != part or found != other))  # what folding made equal counts one
-                        if other != part and cost <= PART_EDITS:
-                            out.add((part, other, cost))
-        return pd.DataFrame(sorted(out), columns=["part", "other", "edits"])
-
-    spreads = parts.select("part").distinct().mapInPandas(spread, "key string, part string, word string, indexed boolean")
-    shards = spreads.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS)))
-    found = shards.groupBy("shard").applyInPandas(lambda f: walk(f), "part string, other string, edits int")
-    return found.groupBy("part", "other").agg(F.min("edits").alias("edits"))
+                        pair = (word, other) if word < other else (other, word)
+                        if word == other or (*pair, edits) in seen:
+                            continue
+                        seen.add((*pair, edits))
+                        cost = min(edits_between(*pair, WORD_EDITS), edits + ((word, other) != (form, found)))
+                        if cost <= WORD_EDITS:
+                            yield *pair, cost
+
+        rows = (row for frame in frames for row in frame[["key", "i", "j", "word", "form", "indexed"]].itertuples(index=False, name=None))
+        out: list[tuple] = []
+        for _, group in groupby(rows, key=lambda r: r[:3]):
+            out += shard(list(group))
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=["word", "other", "edits"])
+                out.clear()
+                seen.clear()
+        yield pd.DataFrame(out, columns=["word", "other", "edits"])
+
+    spark = words.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = words.where("word <> ''").select("word").distinct()
+    rows = cut(distinct.mapInPandas(spread, "key string, word string, form string, indexed boolean"))
+    sizes = rows.groupBy("key").agg(F.count_if("indexed").alias("held"), F.count_if(~F.col("indexed")).alias("asked"), F.min("word").alias("a"), F.max("word").alias("b"))
+    sizes = sizes.where("held > 0 and asked > 0 and a <> b").select("key", F.ceil(F.col("held") / block).cast("int").alias("ni"), F.ceil(F.col("asked") / block).cast("int").alias("nj"))
+    placed = rows.join(sizes, "key")
+    own = F.pmod(F.xxhash64("word", "form"), F.when(F.col("indexed"), F.col("ni")).otherwise(F.col("nj"))).cast("int")
+    every = F.sequence(F.lit(0), F.when(F.col("indexed"), F.col("nj")).otherwise(F.col("ni")) - 1)
+    placed = placed.select("key", "word", "form", "indexed", own.alias("own"), F.explode(every).alias("other"))
+    placed = placed.select("key", F.when(F.col("indexed"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("indexed"), F.col("other")).otherwise(F.col("own")).alias("j"), "word", "form", "indexed")
+    shards = placed.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return shards.mapInPandas(walk, "word string, other string, edits int").groupBy("word", "other").agg(F.min("edits").alias("edits"))
 
 
 def _tokens(name: str) -> tuple[list[str], str | None, bool]:
@@ -174,127 +235,195 @@ def _tokens(name: str) -> tuple[list[str], str | None, bool]:
     return [w for i, w in enumerate(words) if i == 0 or w not in LEGAL_FORMS], legal, place
 
 
+def shortens(short: str, word: str) -> bool:
+    """Whether a word may be short for another: the same first letter, and its letters in order in the other."""
+    letters = iter(word)
+    return 2 < len(short) < len(word) and short[0] == word[0] and all(c in letters for c in short)
+
+
+def likeness(short: str, word: str) -> int:
+    """Letters that two words begin with in common."""
+    return len(commonprefix((short, word)))
+
+
+def trade_forms(counts: dict[str, int]) -> dict[str, str]:
+    """Each trade's full form: a more frequent trade that it may be short for or is a variant of, the likest one, or itself."""
+    out = {}
+    for word, n in counts.items():
+        better = [w for w, m in counts.items() if m > n and (shortens(word, w) or edits_between(fold(word), fold(w), bound(min(len(word), len(w)))) <= bound(min(len(word), len(w))))]
+        out[word] = max(better, key=lambda w: (likeness(word, w), counts[w], w), default=word)
+    for word in sorted(counts, key=lambda w: -counts[w]):  # a short form may be short for a variant
+        out[word] = out[out[word]]
+    return out
+
+
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for id_, source, name, kind, weight in frame.itertuples(index=False):
             words, legal, place = _tokens(name)
-            rows.append((id_, source, name, kind, weight, words, legal, bool(legal) or place or kind == "org"))
-        yield pd.DataFrame(rows, columns=["id", "source", "name", "type", "weight", "words", "legal", "firm"])
+            rows.append((id_, source, kind, weight, words, legal, bool(legal) or place or kind == "org"))
+        yield pd.DataFrame(rows, columns=["id", "source", "type", "weight", "words", "legal", "firm"])
 
 
-def parsed_names(entities: DataFrame) -> DataFrame:
-    """Names and aliases of entities in two parts: id, source (name or alias), firm, main, second, weight.
+class Trades:
+    """The known trades; ``of`` gives a word's trade in its full form, misspelt and shortened ones included."""
 
-    A firm's stem is its first word that isn't a trade, a word of many firms that mostly stands behind; a person's given name is the part that is known
-    as one. Names of one word and places have no second part and are left out; so are aliases that share no word with others.
+    def __init__(self, forms: dict[str, str]):
+        self.forms, self.known = forms, dict(forms)
+        self.by_fold: dict[str, set[str]] = {}
+        for word, full in forms.items():
+            self.by_fold.setdefault(fold(word), set()).add(full)
+        self.root = trie(list(self.by_fold))
+
+    def of(self, word: str) -> str | None:
+        if word not in self.known:
+            folded = fold(word)
+            near = {full for w, edits in within(self.root, folded, WORD_EDITS) if edits <= bound(min(len(w), len(folded))) for full in self.by_fold[w]}
+            short = {full for full in self.forms.values() if shortens(word, full)}
+            most = max((likeness(word, full) for full in short), default=0)
+            near = near or {full for full in short if likeness(word, full) == most}
+            self.known[word] = near.pop() if len(near) == 1 else None
+        return self.known[word]
+
+
+def two_words(words: list[str], firm: bool, kind: str | None, trades: Trades) -> tuple[str, str, str]:
+    """A name's two words, the smaller one first, and the words between them.
+
+    Of a firm: its first word that is no trade and, behind TRADE, the others, trades in their full form. Of a person:
+    the first and the last word, or a word and an initial. A name of one word has an empty other one.
+    """
+    if firm or (kind != "person" and any(w in trades.forms for w in words)):
+        known = [(w, trades.of(w)) for w in words if w != "and"]
+        at = next((i for i, (_, t) in enumerate(known) if t is None), 0)
+        return (known[at][0], TRADE + " ".join(t or w for i, (w, t) in enumerate(known) if i != at), "") if known else ("", "", "")
+    full = [w for w in words if len(w) > 1]
+    if len(full) >= 2:
+        return *sorted((full[0], full[-1])), " ".join(full[1:-1])
+    if not full:
+        return "", "", ""
+    return *sorted((full[0], next((w for w in words if len(w) == 1), ""))), ""
+
+
+def named(entities: DataFrame, facts: DataFrame | None) -> DataFrame:
+    """Names and aliases of entities in two words: id, source (name or alias), a, b (a < b, or a the stem and b the
+    trade), legal, weight. The weight is one more than the facts that name the entity as subject or object; without
+    ``facts`` the stored count stands in. Places and unusable names are left out."""
+    rows = entities.where("id is not null").select("id", "name", "type", F.coalesce("fact_count", F.lit(0)).cast("bigint").alias("stored"), F.coalesce("aliases", F.lit("")).alias("aliases"))
+    if facts is None:
+        rows = rows.withColumn("weight", F.col("stored") + 1)
+    else:
+        ends = facts.select(F.explode(F.array(norm_entity(F.col("subject")), norm_entity(F.col("object")))).alias("id"))
+        counts = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.join(counts, "id", "left").withColumn("weight", F.coalesce("n", F.lit(0)) + 1)
+    spelled = F.concat(F.array(F.struct(F.lit("name").alias("source"), F.col("name").alias("spelling"))), F.transform(F.split("aliases", r"\|"), lambda x: F.struct(F.lit("alias").alias("source"), x.alias("spelling"))))
+    names = rows.where("coalesce(type, '') <> 'place'").select("id", "type", "weight", F.inline(spelled)).where("trim(spelling) <> ''")
+    schema = "id string, source string, type string, weight bigint, words array<string>, legal string, firm boolean"
+    parsed = cut(names.select("id", "source", "spelling", "type", "weight").mapInPandas(_parse, schema))
+    firms = parsed.where("firm and source = 'name'")
+    seen = firms.select(F.posexplode("words").alias("at", "word")).groupBy("word").agg(F.avg((F.col("at") == 0).cast("int")).alias("first"), F.count(F.lit(1)).alias("n"))
+    often = max(LEAST, firms.count() * TRADE_SHARE)
+    common = seen.where((F.col("n") >= often) & (F.col("first") <= 0.5) & (F.col("word") != "and") & (F.length("word") > 2)).select("word", "n")
+    forms = trade_forms({r.word: r.n for r in common.collect()})  # bounded by TRADE_SHARE
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trades = Trades(forms)
+        for frame in frames:
+            found = [two_words(list(words), firm, kind, trades) for words, firm, kind in zip(frame["words"], frame["firm"], frame["type"], strict=True)]
+            out = pd.DataFrame(found, columns=["a", "b", "middle"], dtype=object)
+            yield pd.concat([frame[["id", "source", "legal", "weight"]].reset_index(drop=True), out], axis=1)
+
+    return parsed.mapInPandas(part, "id string, source string, legal string, weight bigint, a string, b string, middle string").where("a <> '' or b <> ''")
+
+
+def _node(a: str = "a", b: str = "b"):
+    return F.concat_ws("\t", F.least(a, b), F.greatest(a, b))
+
+
+def usage(nodes: DataFrame) -> DataFrame:
+    """With how many different words each word stands: word, n. ``nodes`` has each pair once, so nothing is distinct anew."""
+    return nodes.select(F.explode(F.array("a", "b")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def better_words(words: DataFrame) -> DataFrame:
+    """What a word may be a variant of: word, other, edits. ``words``: word, n (with how many others it stands).
+
+    The other one stands with more words, or with as many and comes first; two that are both in use are no variants.
+    Short forms of given names lead to the full ones at no cost, and a word to itself.
+    """
+    spark = words.sparkSession
+    names = spark.createDataFrame([(w,) for w in sorted({*GIVEN, *SHORT_FORMS})], "word string").withColumn("given", F.lit(True))
+    short = [(s, f, 0) for s, forms in SHORT_FORMS.items() for f in forms]
+    words = cut(words.join(F.broadcast(names), "word", "left"))
+    near = similar_words(words.where(F.length("word") > 1))
+    near = near.join(words.select("word", "n", "given"), "word").join(words.select(F.col("word").alias("other"), F.col("n").alias("m"), F.col("given").alias("given2")), "other")
+    both = (F.least("n", "m") >= F.greatest(F.lit(LEAST), F.greatest("n", "m") * USE_SHARE)) | (F.coalesce("given", F.lit(False)) & F.coalesce("given2", F.lit(False)))
+    up = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("word")))
+    near = near.where(~both).select(F.when(up, F.col("word")).otherwise(F.col("other")).alias("word"), F.when(up, F.col("other")).otherwise(F.col("word")).alias("other"), "edits")
+    formal = spark.createDataFrame(short, "word string, other string, edits int")
+    return near.union(formal).union(words.select("word", F.col("word"), F.lit(0))).groupBy("word", "other").agg(F.min("edits").alias("edits"))
+
+
+def same_names(entities: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Groups of entities: id, group. Entities without a usable name aren't given; one that is alone is its own group.
+
+    A person's middle names don't count, unless the same first and last word stand around several different ones. An
+    initial, or a name of one word, joins the only group that it can mean. An alias counts if it shares a word with the
+    name or is another entity's name. Null and repeated rows, ties and empty tables have the same result in any order.
     """
-    rows = entities.where("id is not null").select("id", "name", "type", (F.coalesce("fact_count", F.lit(0)) + 1).alias("weight"), F.coalesce("aliases", F.lit("")).alias("aliases"))
-    names = rows.select("id", F.lit("name").alias("source"), "name", "type", "weight")
-    aliases = rows.select("id", F.lit("alias").alias("source"), F.explode(F.split("aliases", r"\|")).alias("name"), "type", "weight")
-    spelled = names.union(aliases).where("name is not null and trim(name) <> '' and coalesce(type, '') <> 'place'")
-    schema = "id string, source string, name string, type string, weight bigint, words array<string>, legal string, firm boolean"
-    parsed = cut(spelled.mapInPandas(_parse, schema).where(F.size("words") >= 2))
-    firms_named = parsed.where("firm and source = 'name'")
-    seen = firms_named.select(F.posexplode("words").alias("at", "word")).groupBy("word").agg(F.avg((F.col("at") == 0).cast("int")).alias("first"), F.count(F.lit(1)).alias("n"))
-    often = firms_named.agg(F.greatest(F.lit(ESTABLISHED), F.count(F.lit(1)) * TRADE_SHARE).alias("often"))  # one row
-    trades = seen.join(F.broadcast(often)).where("first <= 0.5 and n >= often and word <> 'and'").select("word", F.lit(True).alias("is_trade"))
-    by_word = parsed.select("id", "source", "name", F.posexplode("words").alias("at", "word")).join(trades, "word", "left")
-    known = by_word.groupBy("id", "source", "name").agg(
-        F.coalesce(F.max("is_trade"), F.lit(False)).alias("trade"), F.min(F.when(F.col("is_trade").isNull() & (F.col("word") != "and"), F.col("at"))).alias("stem_at")
-    )
-    parsed = parsed.join(known, ["id", "source", "name"]).withColumn("stem_at", F.coalesce("stem_at", F.lit(0)))
-    firm = F.col("firm") | (F.col("trade") & (F.coalesce("type", F.lit("")) != "person"))
-    behind = F.filter("words", lambda w, i: i != F.col("stem_at"))
-    firms = parsed.where(firm).select("id", "source", "weight", "legal", F.lit(True).alias("firm"), F.get("words", F.col("stem_at")).alias("main"), F.array_join(behind, "").alias("second"))
-    people = parsed.where(~firm & (F.size("words") <= 4)).withColumn("words", F.concat(F.slice("words", 1, 1), F.filter(F.slice("words", 2, 4), lambda w: F.length(w) > 1), F.filter(F.slice("words", -1, 1), lambda w: F.length(w) == 1)))
-    people = people.where(F.size("words") == 2)
-    given = people.where("source = 'name'").select(F.get("words", F.lit(0)).alias("word"), F.get("words", F.lit(1)).alias("other")).where(F.length("word") > 1)
-    given = given.groupBy("word").agg(F.countDistinct("other").alias("n")).where(F.col("n") >= ESTABLISHED)
-    family = people.where("source = 'name'").select(F.get("words", F.lit(1)).alias("word"), F.get("words", F.lit(0)).alias("other")).groupBy("word").agg(F.countDistinct("other").alias("m"))
-    given = given.join(family, "word", "left").where(F.col("n") > F.coalesce("m", F.lit(0))).select("word")
-    fixed = people.sparkSession.createDataFrame([(w,) for w in sorted({*GIVEN, *SHORT_FORMS})], "word string")
-    given = given.union(fixed).distinct()
-    people = people.select("id", "source", "weight", F.lit(None).cast("string").alias("legal"), F.get("words", F.lit(0)).alias("a"), F.get("words", F.lit(1)).alias("b"))
-    people = people.join(given.select(F.col("word").alias("a"), F.lit(True).alias("a_given")), "a", "left").join(given.select(F.col("word").alias("b"), F.lit(True).alias("b_given")), "b", "left")
-    turned = (F.col("b_given") & F.col("a_given").isNull() & (F.length("a") > 1)) | (F.length("b") == 1)
-    turned = F.coalesce(turned, F.lit(False))
-    people = people.select(
-        "id", "source", "weight", "legal", F.lit(False).alias("firm"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("main"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("second")
-    )
-    return firms.select(people.columns).union(people).where("main <> '' and not (length(main) = 1 and length(second) = 1)")
-
-
-def _node(firm: str = "firm", main: str = "main", second: str = "second"):
-    return F.concat_ws("\t", F.col(firm).cast("string"), F.col(main), F.col(second))
-
-
-def same_names(entities: DataFrame) -> DataFrame:
-    """Groups of entities: id, group. Entities that are alone, and unusable names, aren't given."""
-    names = cut(parsed_names(entities))
-    nodes = names.where("source = 'name'").groupBy("firm", "main", "second").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("rows"), F.collect_set("legal").alias("legal"))
-    nodes = cut(nodes.withColumn("node", _node()))
-    mains = nodes.groupBy("firm", F.col("main").alias("part")).agg(F.countDistinct("second").alias("n"), F.count_if(F.length("second") > 1).alias("full"))
-    seconds = nodes.where(F.length("second") > 1).groupBy("firm", F.col("second").alias("part")).agg(F.countDistinct("main").alias("n"))
-    common = nodes.sparkSession.createDataFrame([(w,) for w in GIVEN], "part string").select("part", F.lit(False).alias("firm"), F.lit(ESTABLISHED).alias("fixed"))
-    seconds = seconds.join(common, ["firm", "part"], "left").select("firm", "part", F.greatest("n", F.coalesce("fixed", "n")).alias("n"))
-    near = cut(similar_parts(nodes.select(F.col("main").alias("part")).union(nodes.select("second"))))
-    near = near.union(near.select("part", F.col("part").alias("other"), F.lit(0)).union(nodes.select("main", "main", F.lit(0))).union(nodes.select("second", "second", F.lit(0))).distinct())
-    near = cut(near.groupBy("part", "other").agg(F.min("edits").alias("edits")))
-    kind = lambda parts: cut(
-        near.join(parts.select("firm", "part", F.col("n").alias("n_part")), "part").join(parts.select(F.col("firm").alias("f2"), F.col("part").alias("other"), F.col("n").alias("n_other")), "other")
-        .where("firm = f2").where(f"edits = 0 or n_part < {ESTABLISHED} or n_other < {ESTABLISHED}").select("firm", "part", "other", "edits")
-    )
-    main_near, second_near = kind(mains), kind(seconds)
-    short = nodes.sparkSession.createDataFrame([(s, f) for s, forms in SHORT_FORMS.items() for f in forms], "part string, other string")
-    formal = short.select(F.lit(False).alias("firm"), "part", "other", F.lit(0).alias("edits"))
-    second_near = second_near.union(formal).union(formal.select("firm", F.col("other").alias("part"), F.col("part").alias("other"), "edits"))
-    abbreviated = nodes.where("firm").select("second").distinct()
-    longer = seconds.where(f"firm and n >= {ESTABLISHED}").select(F.col("part").alias("other"))
-    same_start = abbreviated.withColumn("c", F.substring("second", 1, 1)).join(longer.withColumn("c", F.substring("other", 1, 1)), "c")  # words of trades: a few hundred
-    same_start = same_start.where((F.length("second") < F.length("other")) & F.expr("other rlike concat('^', array_join(split(second, ''), '.*'))"))
-    one = same_start.groupBy("second").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("other")).where("n = 1")
-    second_near = second_near.union(one.select(F.lit(True), F.col("second"), "other", F.lit(0))).groupBy("firm", "part", "other").agg(F.min("edits").alias("edits"))
-
-    a = nodes.where(F.length("second") > 1).select("firm", "main", "second", F.col("node").alias("child"), F.col("weight").alias("w"), "rows", "legal")
-    turned = a.where(~F.col("firm")).select("firm", F.col("second").alias("main"), F.col("main").alias("second"), "child", "w", "rows", "legal")
-    by_main = a.union(turned).join(main_near.select("firm", F.col("part").alias("main"), F.col("other").alias("main2"), F.col("edits").alias("e1")), ["firm", "main"])
-    both = by_main.join(second_near.select("firm", F.col("part").alias("second"), F.col("other").alias("second2"), F.col("edits").alias("e2")), ["firm", "second"])
-    found = both.where(F.col("e1") + F.col("e2") <= NAME_EDITS).join(
-        nodes.select("firm", F.col("main").alias("main2"), F.col("second").alias("second2"), F.col("node").alias("parent"), F.col("weight").alias("w2"), F.col("rows").alias("rows2"), F.col("legal").alias("legal2")), ["firm", "main2", "second2"]
-    )
-    edits = F.col("e1") + F.col("e2")
-    other_form = (F.size("legal") > 0) & (F.size("legal2") > 0) & ~F.arrays_overlap("legal", "legal2")
-    found = found.where((edits == 0) | ~(other_form | ((edits >= 2) & (F.least("rows", "rows2") >= ESTABLISHED))))
-    found = found.select("child", "parent", "w", "w2", (F.col("e1") + F.col("e2")).alias("edits"))
-    named = names.where("source = 'alias'").join(nodes.select("firm", "main", "second", F.col("node").alias("other"), F.col("weight").alias("w2")), ["firm", "main", "second"])
-    own = names.where("source = 'name'").join(nodes.select("firm", "main", "second", "node", F.col("weight").alias("w")), ["firm", "main", "second"]).select("id", "node", "w")
-    alias = named.select("id", "other", "w2").join(own, "id").where("node <> other").select(F.col("node").alias("child"), F.col("other").alias("parent"), "w", "w2", F.lit(0).alias("edits"))
-    back = alias.select(F.col("parent").alias("child"), F.col("child").alias("parent"), F.col("w2").alias("w"), F.col("w").alias("w2"), "edits")
-    edges = found.union(alias).union(back).where((F.col("child") != F.col("parent")) & ((F.col("w2") > F.col("w")) | ((F.col("w2") == F.col("w")) & (F.col("parent") < F.col("child")))))
-    best = edges.groupBy("child").agg(F.min_by("parent", F.struct("edits", -F.col("w2"), "parent")).alias("parent"))
-    linked = nodes.select("node").join(best.withColumnRenamed("child", "node"), "node", "left")
-    roots = cut(resolve_chains(linked).select("node", "root"))
-
-    full = nodes.where(F.length("second") > 1).join(roots, "node").select("firm", F.col("main").alias("main2"), F.substring("second", 1, 1).alias("letter"), "root")
-    initial = nodes.where(F.length("second") == 1).select("firm", "main", F.col("second").alias("letter"), "node")
-    close = initial.join(main_near.select("firm", F.col("part").alias("main"), F.col("other").alias("main2"), "edits"), ["firm", "main"])
-    meant = close.join(full, ["firm", "main2", "letter"]).groupBy("node", "edits").agg(F.countDistinct("root").alias("n"), F.min("root").alias("root"))
-    meant = meant.groupBy("node").agg(F.min_by("n", "edits").alias("n"), F.min_by("root", "edits").alias("root")).where("n = 1").select("node", F.col("root").alias("by_initial"))
-    groups = roots.join(meant, "node", "left").select("node", F.coalesce("by_initial", "root").alias("group"))
-    members = names.where("source = 'name'").withColumn("node", _node()).join(groups, "node").select("id", "group").distinct()
-    return members
+    names = cut(named(entities, facts).distinct())
+    middles = names.where("middle <> ''").groupBy("a", "b").agg(F.min("middle").alias("m1"), F.max("middle").alias("m2")).where("m1 <> m2").select("a", "b", F.lit(True).alias("several"))
+    names = names.join(middles, ["a", "b"], "left").withColumn("a", F.when(F.col("several") & (F.col("middle") != ""), F.concat_ws(" ", "a", "middle")).otherwise(F.col("a")))
+    names = cut(names.select("id", "source", "weight", "legal", "a", "b", _node().alias("node")))
+    own, alias = names.where("source = 'name'"), names.where("source = 'alias'")
+    known = own.select("id", F.col("node").alias("own"), F.col("a").alias("a1"), F.col("b").alias("b1"))
+    shares = F.arrays_overlap(F.filter(F.array("a", "b"), lambda w: F.length(w) > 1), F.array("a1", "b1"))
+    full = lambda a, b: (F.length(a) > 1) & (F.length(b) > 1)
+    alias = alias.join(known, "id").where((F.col("node") != F.col("own")) & full("a", "b"))
+    alias = alias.join(own.select("node").distinct().withColumn("real", F.lit(True)), "node", "left").where(shares | F.col("real"))
+    alias = cut(alias.select("own", "node", "a", "b", (~full("a1", "b1")).alias("initial")).distinct())
+    nodes = own.groupBy("node", "a", "b").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("rows"), F.collect_set("legal").alias("legal"))
+    extra = alias.select("node", "a", "b").distinct().join(nodes.select("node"), "node", "left_anti").select("*", F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.array().cast("array<string>"))
+    nodes = cut(nodes.union(extra))
+    better = cut(better_words(usage(nodes)))
+
+    whole = nodes.where(full("a", "b"))
+    to = lambda c: better.select(F.col("word").alias(c), F.col("other").alias(f"{c}2"), F.col("edits").alias(f"{c}_edits"))
+    keys = whole.join(to("a"), "a").join(to("b"), "b").where(F.col("a_edits") + F.col("b_edits") <= NAME_EDITS)
+    keys = keys.select("node", _node("a2", "b2").alias("key"), (F.col("a_edits") + F.col("b_edits")).alias("edits"), "weight", "rows", "legal")
+    keys = cut(keys.groupBy("node", "key").agg(F.min("edits").alias("edits"), F.first("weight").alias("weight"), F.first("rows").alias("rows"), F.first("legal").alias("legal")))
+    first = keys.groupBy("key").agg(F.min_by("node", F.struct(-F.col("weight"), F.col("node"))).alias("heaviest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    real = nodes.select(F.col("node").alias("key"), F.col("weight").alias("w2"), F.col("rows").alias("rows2"), F.col("legal").alias("legal2"))
+    found = keys.where("node <> key").join(first, "key", "left").join(real, "key", "left")
+    unlike = (F.size("legal") > 0) & (F.size("legal2") > 0) & ~F.arrays_overlap("legal", "legal2")
+    found = found.where((F.col("edits") == 0) | ~F.coalesce(unlike | ((F.col("edits") >= 2) & (F.least("rows", "rows2") >= LEAST)), F.lit(False)))
+    parent = F.when(F.col("w2").isNotNull(), F.col("key")).when(F.col("heaviest") != F.col("node"), F.col("heaviest"))
+    found = found.select("node", parent.alias("parent"), F.when(F.col("w2").isNull(), 10).otherwise(0) + F.col("edits"), F.coalesce("w2", F.lit(0)).alias("w2")).toDF("node", "parent", "cost", "w2").where("parent is not null")
+    linked = alias.select(F.col("own").alias("a"), F.col("node").alias("b"))
+    best = found.groupBy("node").agg(F.min_by("parent", F.struct("cost", -F.col("w2"), "parent")).alias("parent"))
+    roots = cut(linked_groups(nodes.select("node"), best.select("node", "parent").toDF("a", "b").union(linked)))
+
+    placed = whole.join(roots, "node").select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other")), F.struct(F.col("b").alias("word"), F.col("a").alias("other")))).alias("x"), "root").select("x.*", "root")
+    placed = placed.select("word", F.explode(F.array(F.substring("other", 1, 1), F.lit(""))).alias("letter"), "root").groupBy("word", "letter").agg(F.min("root").alias("root"), F.max("root").alias("last"))
+    short = nodes.where(~full("a", "b")).join(alias.where("initial").select(F.col("own").alias("node")).distinct(), "node", "left_anti")
+    word, letter = F.when(F.length("a") > 1, F.col("a")).otherwise(F.col("b")), F.when(F.length("a") > 1, F.col("b")).otherwise(F.col("a"))
+    short = short.select("node", word.alias("own_word"), letter.alias("letter"))
+    ways = better.union(better.select("other", "word", "edits")).distinct().select(F.col("word").alias("own_word"), F.col("other").alias("word"), "edits")
+    meant = short.join(ways, "own_word").join(placed, ["word", "letter"]).groupBy("node", "edits").agg(F.min("root").alias("root"), F.max("last").alias("last"))
+    meant = meant.groupBy("node").agg(F.min_by(F.struct("root", "last"), "edits").alias("m")).where("m.root = m.last").select("node", F.col("m.root").alias("meant"))
+    groups = roots.join(meant, "node", "left").select("node", F.coalesce("meant", "root").alias("group"))
+    return own.select("id", "node").join(groups, "node").groupBy("id").agg(F.min("group").alias("group"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of each group; a group is the spellings of one name, so its pairs are what is asked for."""
-    groups = cut(same_names(table(spark, sf_dir, "entities")))
+    groups = cut(same_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "facts")))
     a, b = groups.select("group", F.col("id").alias("id_a")), groups.select("group", F.col("id").alias("id_b"))
     return a.join(b, "group").where("id_a < id_b").select("id_a", "id_b")
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = same_names(table(spark, sf_dir, "entities"))
+    groups = same_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "facts"))
     size = groups.groupBy("group").agg(F.count(F.lit(1)).alias("spellings"))
     return groups.join(size, "group").select("id", "group", "spellings")
 

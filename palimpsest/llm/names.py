@@ -32,6 +32,7 @@ SHORT_FORMS = {
     "sam": "samuel samantha", "seb": "sebastian", "bastian": "sebastian", "basti": "sebastian", "steve": "stephen", "sue": "susanna susan", "susie": "susanna susan", "susi": "susanna", "tess": "theresa", "theo": "theodore", "tim": "timothy",
     "tom": "thomas", "tommy": "thomas", "toby": "tobias", "ulli": "ulrike", "vic": "victoria victor", "vicky": "victoria", "tori": "victoria", "walt": "walter", "xeni": "xenia",
     "zach": "zachary", "zack": "zachary", "zac": "zachary", "zoli": "zoltan", "manny": "manuel", "manu": "manuel", "nadja": "nadia", "cami": "camille", "al": "albert alan", "bert": "albert robert", "gus": "august", "emmy": "emily emilia", "lenny": "leonard", "tobi": "tobias", "mandy": "amanda",
+    "isa": "isabella", "babs": "barbara", "chessie": "francesca", "tricia": "patricia", "hettie": "henrietta", "tilde": "mathilde", "uli": "ulrike", "izzy": "isabella", "jerry": "gerald", "larry": "lawrence", "hattie": "harriet",
 }
 SHORT_FORMS = {short: forms.split() for short, forms in SHORT_FORMS.items()}
 # Legal forms of organisations, with their short forms.
