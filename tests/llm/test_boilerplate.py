@@ -1,8 +1,8 @@
 import random
 
-from palimpsest.llm.boilerplate import align, article_lines, infer_wrapper
+from palimpsest.llm.boilerplate import Wrapper, article_lines, without_repeats, wrappers
 
-CHUNKS = "ref string, url string, title string, text string, host string, token string"
+CHUNKS = "ref string, url string, title string, text string, fetched_at double, host string, token string"
 
 
 def site(rng, host, n):
@@ -21,8 +21,8 @@ def site(rng, host, n):
 def test_articles(spark, rows):
     rng = random.Random(1)
     pages = [p for h, n in (("one.example", 70), ("two.example", 12), ("three.example", 9), ("four.example", 8), ("lone.test", 1)) for p in site(rng, h, n)]
-    data = [(r, u, t, x, "h", "t") for r, u, t, x, _ in pages]
-    data += data[:5] + [("url:x", None, None, None, "h", "t"), (None, None, None, "lost", "h", "t"), ("url:y", None, None, "", "h", "t"), ("url:z", None, None, "word " * 30_000, "h", "t")]
+    data = [(r, u, t, x, 1.0, "h", "t") for r, u, t, x, _ in pages]
+    data += data[:5] + [("url:x", None, None, None, None, "h", "t"), (None, None, None, "lost", 1.0, "h", "t"), ("url:y", None, None, "", None, "h", "t"), ("url:z", None, None, "word " * 30_000, 1.0, "h", "t")]
     got: dict = {}
     for ref, n in rows(article_lines(spark.createDataFrame(data, CHUNKS)), "ref", "line_no"):
         got.setdefault(ref, set()).add(n)
@@ -39,7 +39,31 @@ def test_empty(spark):
 
 
 def test_wrapper():
-    pages = [["a", "b", f"x{i}", "c", "c"] for i in range(20)]
-    support = {n[0]: n[1] for n in infer_wrapper(pages)}
-    assert support["a"] == support["b"] == support["c"] == 20 and support["x3"] == 1
-    assert next(n for n in align([], ["c", "c"], 0) if n[0] == "c")[3]
+    pages = [["a", "b", *([] if i % 4 else ["o"]), f"x{i}", *(["ad"] if i % 3 == 1 else []), f"y{i}", *["r"] * (1 + i % 3), "z"] for i in range(20)]
+    wrapper = Wrapper(pages)
+    assert wrapper.expression() == "a b [text ad?] (r)+ z"
+    by_token = dict(zip(pages[1], wrapper.places[1], strict=True))
+    assert by_token["a"] == by_token["b"] == 0 and by_token["x1"] == by_token["ad"] == 1 and by_token["z"] == 2
+    assert without_repeats(list("xababyy")) == [("x", 1, 0), ("a", 2, 1), ("b", 2, 2), ("y", 2, 5)]
+    assert Wrapper([["a"], []]).expression() in ("", "a") and Wrapper([]).places == []
+
+
+def test_the_place_decides(spark, rows):
+    """A menu's word is text where it is a heading of the article; counts of pages by word couldn't tell them apart."""
+    rng = random.Random(3)
+    pages = site(rng, "five.example", 40)
+    ref, url, title, text, _ = pages[7]
+    lines = text.split("\n")
+    lines[9:9] = ["Contact"]
+    long = "The start of the two is the same and goes on for long, " * 8
+    lines[10:10] = [long + "one.", long + "other."]
+    pages[7] = (ref, url, title, "\n".join(lines), None)
+    data = [(r, u, t, x, 1.0, "h", "t") for r, u, t, x, _ in pages]
+    data.append((ref, url, title, "An older read", 0.5, "h", "t"))
+    df = spark.createDataFrame(data, CHUNKS)
+    got = {n for r, n in rows(article_lines(df), "ref", "line_no") if r == ref}
+    contact = [n for n, x in enumerate(lines) if x in ("Contact", "* Contact")]
+    assert len(contact) == 2 and contact[0] not in got and contact[1] in got
+    assert {n for n, x in enumerate(lines) if x.startswith(long)} <= got
+    told = wrappers(df).collect()
+    assert len(told) == 1 and told[0].pages == 40 and "[text" in told[0].expression and "(contact)" not in told[0].expression and "contact" in told[0].expression
