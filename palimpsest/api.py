@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.history import attribute_history
 from palimpsest.operators.search import bm25
-from palimpsest.operators.spans import extract_spans
+from palimpsest.operators.spans import overlaps, scope_bound, spans_of, time_scope
 from palimpsest.plans import ledger, memory, texts
 from palimpsest.plans.base import clean_facts, clean_windows
 from palimpsest.sources.tables import table
@@ -37,15 +37,31 @@ class Memory:
         return rows if since is None else rows.where(F.coalesce("h_start", "valid_from") >= since)
 
     def scope(self, phrase: str, now: float) -> tuple[float, float] | None:
-        """The interval of the times named in a phrase, from the first start to the last end."""
-        times = [x[4:] for x in extract_spans(phrase, now) if x[2] == "time"]
-        return (min(t[0] for t in times), max(t[1] for t in times)) if times else None
+        """The interval of the times named in a phrase, read as a question's: from the first start to the last end."""
+        found = time_scope(phrase, now)
+        return found and found[:2]
 
     def said_in(self, phrase: str, now: float) -> DataFrame:
         """Windows said in the time that a phrase names; all if it names none."""
         windows, scope = clean_windows(self.spark, self.folder), self.scope(phrase, now)
         return windows if scope is None else windows.where((F.col("said") >= scope[0]) & (F.col("said") < scope[1]))
 
+    def about(self, phrase: str, now: float) -> DataFrame:
+        """Windows said in the time that a phrase names, or that speak of it; all if it names none."""
+        windows, scope = clean_windows(self.spark, self.folder), self.scope(phrase, now)
+        if scope is None:
+            return windows
+        speaking = spans_of(windows, ["id"]).where(overlaps(F.col("t_start"), F.col("t_end"), scope)).select("id")
+        said = windows.where((F.col("said") >= scope[0]) & (F.col("said") < scope[1])).select("id")
+        return windows.join(speaking.union(said).distinct(), "id", "left_semi")
+
+    def between(self, start: str, end: str, now: float) -> DataFrame:
+        """Windows said from one bound to another, each an ISO time or a phrase; an empty one doesn't bound."""
+        first, last = scope_bound(start, now), scope_bound(end, now, end=True)
+        windows = clean_windows(self.spark, self.folder)
+        windows = windows if first is None else windows.where(F.col("said") >= first)
+        return windows if last is None else windows.where(F.col("said") < last)
+
     def history(self) -> DataFrame:
         return attribute_history(self.table("facts"), self.table("relations"))
 

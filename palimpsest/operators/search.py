@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words that don't count in a keyword query.
-STOP = """
-a about all also an and any are as at be been but by can could did do does for from had has have he her here his how i if in into is it its just me my no not of
-on or our out she so some than that the their them then there these they this to up us was we were what when where which who why will with would you your
-""".split()
+from palimpsest.functions.words import QUERY_STOP
+
+# Letters with marks, and the letters without: what decomposes into a Latin letter and marks.
+_MARKED = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii() and d[0].islower()}
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
 def query_terms(text: str, most: int = 24) -> list[str]:
-    """Terms of a keyword query: lower-case words of more than one character that aren't stop words, each once."""
-    words = [w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split() if len(w) > 1 and w not in STOP]
+    """Terms of a keyword query: as terms_of, of more than one character and no stop words, each once."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    words = [w for w in "".join(c if c.isalnum() else " " for c in plain).split() if len(w) > 1 and w not in QUERY_STOP]
     return list(dict.fromkeys(words))[:most]
 
 
 def terms_of(text: Column) -> Column:
-    """Words of a text: runs of ASCII letters and digits, in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    """Words of a text: runs of letters and digits of any script, in lower case and without the marks of Latin letters."""
+    plain = F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{M}+", ""), "".join(_MARKED), "".join(_MARKED.values()))
+    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def bm25(corpus: DataFrame, query: str, item: str = "id", text: str = "text") -> DataFrame:

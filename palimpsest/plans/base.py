@@ -12,10 +12,13 @@ from palimpsest.sources.tables import table
 WEEK = 7 * 86400
 
 
-def clean_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows, each id once, with times in seconds."""
-    cols = ["id", "ref", "session_id", "speaker", "text", "flags", "stream"]
-    return table(spark, sf_dir, "windows").select(*cols, seconds(F.col("said")).alias("said")).dropDuplicates(["id"])
+_WINDOW_COLS = ["ref", "session_id", "speaker", "text", "flags", "stream"]
+
+
+def clean_windows(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """Windows, each id once, with times in seconds. Where rows of one id differ, the smallest value of a column holds."""
+    cols = _WINDOW_COLS if columns is None else columns
+    return table(spark, sf_dir, "windows").groupBy("id").agg(*(F.min(c).alias(c) for c in cols), F.min(seconds(F.col("said"))).alias("said"))
 
 
 def clean_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +35,6 @@ def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("block", F.floor(F.col("said") / WEEK))
 
 
-SQL_W = """w AS (SELECT DISTINCT ON (id) id, ref, session_id, speaker, text, flags, stream, CASE WHEN abs(said) > 1e11 THEN said / 1000 ELSE said END AS said FROM windows)"""
+SQL_W = f"""w AS (SELECT id, {', '.join(f'min({c}) AS {c}' for c in _WINDOW_COLS)}, min(CASE WHEN abs(said) > 1e11 THEN said / 1000 ELSE said END) AS said FROM windows GROUP BY id)"""
 SQL_F = "f AS (SELECT DISTINCT ON (id) * FROM facts)"
 SQL_A = "a AS (SELECT DISTINCT ON (id) * FROM actions)"

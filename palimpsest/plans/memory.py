@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import norm_entity
+from palimpsest.functions.words import AGENT
 from palimpsest.operators.graph import communities
 from palimpsest.operators.segments import carry_last, carry_next, ranked, running_sum
 from palimpsest.plans.base import SQL_A, SQL_F, SQL_W, WEEK, clean_actions, clean_facts, clean_windows, session_lines
@@ -30,7 +31,7 @@ def query(sql: str | None = None):
 _LIVE = ["active", "unconfirmed"]
 # What makes a statement unusable, in the order it is tested.
 _PLACEHOLDER = r"(?i)^\s*(\[?implicit\]?|unknown|unspecified|n/?a|none|null|-|\?)\s*$"
-_ASKS = r"(?i)\b(wants? to know|asks?|asked|asking|wonders?|wondering|inquir\w*|is curious|request\w*|told (?:me|you) to)\b"
+_ASKS = r"(?i)\b(wants? to know|asks?|asked|asking|wonders?|wondering|inquir\w*|is curious|request\w*|wants? (?:me|you|the assistant|" + AGENT + r") to|told (?:me|you) to)\b"
 
 
 @query(f"""WITH {SQL_F} SELECT CASE WHEN coalesce(subject, '') = '' OR coalesce(relation, '') = '' OR coalesce(object, '') = '' THEN 'empty'
@@ -291,7 +292,8 @@ def context_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("session_id", F.floor((F.col("n") - 1) / 40).alias("batch")).agg(F.count(F.lit(1)).alias("lines"), F.min("n").alias("first_line"))
 
 
-_SKIP = ["echo", "code", "event", "continuity", "thought", "action", "dropped", "ungrounded"]
+#: Flags of windows that no statement may be drawn from.
+_SKIP = ["echo", "dropped", "code", "assistant", "action", "thought", "event", "caption"]
 
 
 @query(f"""WITH {SQL_W}, c AS (SELECT DISTINCT ref FROM chunks WHERE headroom = 'novel'), f2 AS (SELECT id, string_split(coalesce(flags, ''), ' ') AS fl, stream, ref FROM w),

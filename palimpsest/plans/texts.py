@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import words
 from palimpsest.functions.text import norm_entity, norm_relation, seconds, sha_id
+from palimpsest.functions.words import sql
 from palimpsest.operators.search import bm25, fused, latest_vectors, query_terms, similar_to, terms_of
 from palimpsest.operators.segments import carry_last
-from palimpsest.operators.spans import typed_spans
+from palimpsest.operators.spans import spans_of
 from palimpsest.operators.windows import containment, needs_context, sentence_texts, shingles, window_texts
 from palimpsest.plans.base import SQL_A, SQL_F, SQL_W, clean_actions, clean_facts, clean_windows, session_lines
 from palimpsest.sources.tables import table
@@ -18,11 +20,11 @@ from palimpsest.sources.tables import table
 QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if oracle:
+            SQL[f.__name__] = oracle
         return f
 
     return register
@@ -96,11 +98,7 @@ def said_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("id", F.date_format(F.timestamp_seconds(F.floor("said")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("said_at"))
 
 
-_ASSENT = "(?i)^\\s*(yes|yeah|yep|yup|sure|ok|okay|no|nope|nah|do it|go ahead|sounds good|agreed|please do|perfect|correct|right|exactly|both|neither)\\b"
-_PRONOUN = "(?i)^\\s*(it|its|they|them|their|this|that|these|those|he|she|his|her|him|there|then|same|which|the one|so)\\b"
-
-
-@query(f"WITH {SQL_W} SELECT id, length(trim(text)) < 60 OR regexp_matches(text, '{_ASSENT}') OR regexp_matches(text, '{_PRONOUN}') AS needs FROM w WHERE text IS NOT NULL")
+@query(f"WITH {SQL_W} SELECT id, length(trim(text)) < 60 OR regexp_matches(text, '{sql(words.ASSENT)}') OR regexp_matches(text, '{sql(words.POINTING)}') AS needs FROM w WHERE text IS NOT NULL")
 def context_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_windows(spark, sf_dir).where("text is not null").select("id", needs_context(F.col("text")).alias("needs"))
 
@@ -154,14 +152,14 @@ def relation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_facts(spark, sf_dir).groupBy(norm_relation(F.col("relation")).alias("relation")).agg(F.count(F.lit(1)).alias("facts"))
 
 
-_NAMES = r"[A-Z][a-z]+(?:[ -][A-Z][a-zA-Z0-9]+)*"
-_NO_NAMES = "I The A An And But Or So If When Then This That These Those It Its He She They We You Yes No Ok Thanks Hi Hello My Our Your What Which Who Where Why How Is Are Was Do Does Did Can Could Would Should Will Here There".split()
+_NO_NAMES = [*words.NAME_STOP, words.AGENT]
 
 
-@query(f"""WITH {SQL_W}, n AS (SELECT id, unnest(list_distinct(regexp_extract_all(text, '{_NAMES}'))) AS name FROM w WHERE text IS NOT NULL)
+@query(rf"""WITH {SQL_W}, n AS (SELECT id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\PL]', '_', 'g'), '{words.NAMES}'))) AS name FROM w WHERE text IS NOT NULL)
 SELECT name, count(*) AS windows FROM n WHERE name NOT IN ({", ".join(f"'{x}'" for x in _NO_NAMES)}) GROUP BY 1""")
 def capital_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit(_NAMES), 0))
+    ascii_only = F.regexp_replace("text", r"[\p{L}&&[^\x00-\x7F]]", "_")  # else engines differ on where such words end
+    names = F.array_distinct(F.regexp_extract_all(ascii_only, F.lit(words.NAMES), 0))
     kept = F.array_except(names, F.array(*(F.lit(x) for x in _NO_NAMES)))
     return clean_windows(spark, sf_dir).where("text is not null").select(F.explode(kept).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("windows"))
 
@@ -228,19 +226,15 @@ def window_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_windows(spark, sf_dir).where("text is not null").select("id", F.posexplode(sentence_texts("text")).alias("position", "sentence"))
 
 
-def spans_of(windows: DataFrame) -> DataFrame:
-    return windows.where("text is not null").select("id", "session_id", "said", F.inline(typed_spans("text", "said")))
-
-
 @query()
 def window_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed values of all windows with their resolved times."""
-    return spans_of(clean_windows(spark, sf_dir))
+    return spans_of(clean_windows(spark, sf_dir), ["id", "session_id", "said"])
 
 
 @query()
 def span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans_of(clean_windows(spark, sf_dir))
+    found = spans_of(clean_windows(spark, sf_dir), ["id"])
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("value").alias("kinds"), F.count("t_start").alias("dated"))
 
 
@@ -281,19 +275,18 @@ def question_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("id", hint.otherwise("none").alias("hint"))
 
 
-_FOLLOW = r"(?i)^\s*(?:and|also|what about|how about|so what|then)\b|\b(?:it|this|those|these|them|the other|that one|the same|again)\b"
-
-
-@query(f"""WITH {_LINES_SQL} SELECT id, right(prev, 300) AS earlier FROM p WHERE length(text) < 100 AND regexp_matches(text, '{_FOLLOW}') AND prev IS NOT NULL""")
+@query(f"""WITH {_LINES_SQL} SELECT id, right(prev, 300) AS earlier FROM p WHERE length(text) < 100 AND regexp_matches(text, '{sql(words.FOLLOW_UP)}') AND prev IS NOT NULL""")
 def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = with_previous(session_lines(spark, sf_dir))
-    kept = lines.where((F.length("text") < 100) & F.col("text").rlike(_FOLLOW) & F.col("prev.text").isNotNull())
+    kept = lines.where((F.length("text") < 100) & F.col("text").rlike(words.FOLLOW_UP) & F.col("prev.text").isNotNull())
     return kept.select("id", F.right("prev.text", F.lit(300)).alias("earlier"))
 
 
+#: Terms of a text in SQL, as terms_of gives them.
+SQL_TERMS = r"[x FOR x IN string_split_regex(strip_accents(lower(coalesce({0}, ''))), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
 SEARCH = "vector index battery of the greenhouse locker"
 _TERMS = query_terms(SEARCH)
-_BM25_SQL = f"""b_r AS (SELECT id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+') IF x <> ''] AS words FROM w),
+_BM25_SQL = f"""b_r AS (SELECT id, {SQL_TERMS.format('text')} AS words FROM w),
 b_s AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM b_r),
 b_h AS (SELECT id, len(words) AS dl, q.t, len([x FOR x IN words IF x = q.t]) AS tf FROM b_r, (SELECT unnest({_TERMS}) AS t) q),
 b_d AS (SELECT t, count(*) AS df FROM b_h WHERE tf > 0 GROUP BY t),
@@ -307,7 +300,7 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(F.col("item").alias("id"), F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "id").limit(50)
 
 
-@query("""WITH x AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+') IF x <> ''] AS words FROM documents), p AS (SELECT doc_id, unnest(words) AS term FROM x)
+@query(f"""WITH x AS (SELECT doc_id, {SQL_TERMS.format('text')} AS words FROM documents), p AS (SELECT doc_id, unnest(words) AS term FROM x)
 SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM p GROUP BY 1""")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index's statistics over whole documents."""

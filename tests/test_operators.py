@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import math
 import random
 
@@ -10,7 +11,7 @@ from palimpsest.operators.chains import resolve_chains
 from palimpsest.operators.graph import communities
 from palimpsest.operators.journal import OPERATIONS, corrected, standing
 from palimpsest.operators.search import bm25, fused, query_terms
-from palimpsest.operators.spans import extract_spans
+from palimpsest.operators.spans import extract_spans, overlaps, scope_bound, spans_of, time_scope
 from palimpsest.operators.windows import containment, needs_context, sentences, shingles, text_windows
 
 
@@ -32,7 +33,7 @@ def test_weighted_chain(spark, rows):
 def test_identity(spark, rows):
     df = spark.createDataFrame([("The  Old Van's ",), (" an Apple.",), (None,), ("their",)], "s string")
     assert [r[0] for r in df.select(norm_entity(F.col("s"))).collect()] == ["old van", "apple", "", "their"]
-    assert spark.range(1).select(sha_id(F.lit("hermes:1:ab"), F.lit(0))).first()[0] == "0bc683a31e8011f2"
+    assert spark.range(1).select(sha_id(F.lit("chat:1:ab"), F.lit(0))).first()[0] == hashlib.sha1(b"chat:1:ab\x1f0\x1f").hexdigest()[:16]
     blanks = spark.createDataFrame([("",), (None,), ("  ​\n",), ("x",)], "s string").select(is_blank(F.col("s")))
     assert [r[0] for r in blanks.collect()] == [True, True, True, False]
     assert spark.range(1).select(seconds(F.lit(1735884600500.0))).first()[0] == 1735884600.5
@@ -66,6 +67,12 @@ SAID = dt.datetime(2026, 9, 20, 12, tzinfo=dt.UTC).timestamp()  # a Sunday
         ("two weeks ago", "time", "2026-09-06"), ("in three months", "time", "2026-12-20"), ("yesterday", "time", "2026-09-19"), ("last month", "time", "2026-08"), ("2025-03-14", "time", "2025-03-14"),
         ("it cost $12.40", "money", "12.4 USD"), ("about 3 million euros", "money", None), ("2k EUR", "money", None), ("for two hours", "duration", "PT2H"), ("6.5 km", "quantity", "6.5 km"),
         ("see https://a.example/x.", "contact", "https://a.example/x"), ("mail a.b@c.example now", "contact", "a.b@c.example"), ("run /srv/notes/1.md", "artifact", "/srv/notes/1.md"), ("v2.59.1 is out", "artifact", "v2.59.1"),
+        ("during 2019", "time", "2019"), ("from 2020 on", "time", "2020"), ("of 2021", "time", "2021"), ("by 2030", "time", "2030"), ("the 12th of June, 2021", "time", "2021-06-12"), ("May 5", "time", "2026-05-05"),
+        ("May 5, 2024 at 14:30", "time", "2024-05-05T14:30"), ("the day after tomorrow at 3 p.m.", "time", "2026-09-22T15:00"), ("this weekend", "time", "2026-09-19/2026-09-21"), ("on Sunday", "time", "2026-09-20"), ("next Sunday", "time", "2026-09-27"),
+        ("last Friday", "time", "2026-09-18"), ("a couple of days ago", "time", "2026-09-18"), ("last week of February", "time", "2027-02-22/2027-03-01"), ("in January", "time", "2027-01"), ("last October", "time", "2025-10"), ("next year", "time", "2027"),
+        ("5 km/h", "quantity", "5 km/h"), ("20 °C outside", "quantity", "20 °c"), ("300 tokens", "quantity", "300 tokens"), ("6 foot", "quantity", "6 foot"), ("at 10 mph", "quantity", "10 mph"), ("50%", "quantity", "50 %"), ("1,250 steps", "quantity", "1250 steps"),
+        ("€2,500.50 now", "money", "2500.5 EUR"), ("$5k", "money", "5000 USD"), ("20 bucks", "money", "20 USD"), ("call +1 (555) 123-4567", "contact", "+15551234567"), ("555-123-4567", "contact", "5551234567"), ("`ls -la`", "artifact", "ls -la"),
+        ("AB-12 is open", "artifact", "AB-12"), ("see #123", "artifact", "#123"), ("~/notes/today.md", "artifact", "~/notes/today.md"), ("a few minutes", "duration", "PT3M"), ("twelve years", "duration", "P12Y"),
     ],
 )
 def test_spans(text, kind, value):
@@ -73,6 +80,35 @@ def test_spans(text, kind, value):
     assert [x[3] for x in found[:1]] == [value] if value else True
 
 
+@pytest.mark.parametrize("text", ["5 kmx", "it may be", "march on", "2025-13-40", "in 3000", "1.2", "in two hours' time 99:99", "AB-", "#1", "https://", "a@b", "``", "/ and /x", "may 99", "9 0", "week of may", "seconds"])
+def test_no_false_values(text):
+    assert [x for x in extract_spans(text, SAID) if x[2] not in ("duration", "time") or x[3][:4] not in ("2026",)] == []
+
+
+def test_questions_look_back():
+    stamp = lambda *a: dt.datetime(*a, tzinfo=dt.UTC).timestamp()
+    assert time_scope("what did she say on Friday?", SAID) == (stamp(2026, 9, 18), stamp(2026, 9, 19), "any")
+    assert time_scope("and on Sunday", SAID)[0] == stamp(2026, 9, 13)
+    assert time_scope("in October", SAID) == (stamp(2025, 10, 1), stamp(2025, 11, 1), "any")
+    assert time_scope("on December 3", SAID)[0] == stamp(2025, 12, 3) and time_scope("next month", SAID) == (stamp(2026, 10, 1), stamp(2026, 11, 1), "happens")
+    assert time_scope("from 2020 to the first week of May", SAID)[:2] == (stamp(2020, 1, 1), stamp(2026, 5, 8))
+    assert time_scope("anything lately?", SAID) == (SAID - 7 * 86400, SAID, "any") and time_scope("why?", SAID) is None
+    assert scope_bound("2025-01-01", SAID, end=True) == stamp(2025, 1, 2) and scope_bound("2025-01-01T10:00", SAID) == stamp(2025, 1, 1, 10)
+    assert scope_bound("March", SAID, end=True) == stamp(2026, 4, 1) and scope_bound("", SAID) is None and scope_bound("soon", SAID) is None
+
+
+def test_spans_of_tables(spark, rows):
+    """As reading each text on its own; texts that are left out before hold no value."""
+    rng = random.Random(8)
+    parts = ["next Tuesday", "5 km", "hello there", "€5", "in May", "a few hours", "x@y.example", "today", "`x`", "/a/b", "it is", "50%", "tonight", "no date"]
+    data = [(i, " ".join(rng.choices(parts, k=rng.randrange(4))), SAID if i % 5 else None, "extra") for i in range(200)] + [(900, None, SAID, "x"), (901, "", None, None), (902, "word " * 20_000 + "5 km", SAID, "x")]
+    got = rows(spans_of(spark.createDataFrame(data, "id int, text string, said double, value string"), ["id"]))
+    assert got == sorted(((i, *x) for i, t, s, _ in data if t for x in extract_spans(t, s)), key=str)
+    assert spans_of(spark.createDataFrame([], "id int, text string, said double"), ["id"]).count() == 0
+    times = spark.createDataFrame([(1.0, 2.0), (5.0, None), (None, None)], "a double, b double")
+    assert times.where(overlaps(F.col("a"), F.col("b"), (1.5, 5.0))).count() == 1
+
+
 def test_spans_do_not_overlap():
     rng = random.Random(2)
     words = ["next", "Tuesday", "2025-03-14", "$5", "at", "9:30", "two", "hours", "ago", "km", "12", "May", "2023", "a@b.example", "in"]
@@ -99,6 +135,13 @@ def test_bm25_against_brute_force(spark):
     assert query_terms("The THE a") == [] and bm25(spark.createDataFrame(docs, "id int, text string"), "the").count() == 0
 
 
+def test_terms_of_any_language(spark):
+    docs = [(1, "Zürich im Café"), (2, "ZURICH"), (3, "Größe 10"), (4, "Привет мир")]
+    df = spark.createDataFrame(docs, "id int, text string")
+    assert {r.item for r in bm25(df, "Zürich").collect()} == {1, 2} and {r.item for r in bm25(df, "cafe").collect()} == {1}
+    assert {r.item for r in bm25(df, "große привет").collect()} == {3, 4}
+
+
 def test_fusion(spark, rows):
     v = spark.createDataFrame([("a", 0.9), ("b", 0.5)], "item string, sim double")
     k = spark.createDataFrame([("b", 4.0), ("c", 2.0)], "item string, bm25 double")
