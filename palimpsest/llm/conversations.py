@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import INVISIBLE, UNIT, is_blank, seconds
 from palimpsest.operators.chains import resolve_chains
+from palimpsest.operators.segments import carry_last
 from palimpsest.session import cut
 from palimpsest.sources.tables import table
 
+#: Sessions are scanned for the message before in blocks of so many seconds.
 BLOCK_SECONDS = 28 * 86400
 
 
@@ -53,46 +55,36 @@ def messages(windows: DataFrame, speakers: DataFrame) -> DataFrame:
     return found.select("session_id", "ref", "said", "assistant", "blank", whole.alias("whole"))
 
 
-def kept_messages(found: DataFrame) -> DataFrame:
-    """The messages that aren't blank of the sessions that are intact."""
-    at = F.when(~F.col("blank"), F.struct("said", "ref"))
-    sessions = found.groupBy("session_id").agg(
-        F.max(F.col("said").isNull() | ~F.col("whole") | (F.col("assistant") & F.col("blank"))).alias("broken"),
-        F.min_by("assistant", at).alias("first"),
-        F.max_by("assistant", at).alias("last"),
-    )
-    kept = sessions.where("not broken and not first and last").select("session_id")
-    return found.where("not blank").join(kept, "session_id", "left_semi").drop("blank", "whole")
+def linked_messages(found: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Messages that aren't blank, each with ``parent``, the one before it: session_id, ref, assistant, usable, node, parent.
+
+    A message that is broken, without time, or blank though it is the assistant's can't be placed; it stands before all
+    others of its session and is no node, so the first message behind it points at nothing. The order is scanned in blocks of time.
+    """
+    usable = F.col("said").isNotNull() & F.col("whole") & ~(F.col("assistant") & F.col("blank"))
+    rows = found.withColumn("usable", usable).where("not blank or not usable").withColumn("node", F.xxhash64("session_id", "ref"))
+    rows = rows.withColumn("block", F.when(F.col("usable"), F.floor(F.col("said") / block_seconds)).otherwise(F.lit(-(2**50))))
+    rows = rows.withColumn("at", F.struct("usable", F.col("said"), F.coalesce("ref", F.lit("")).alias("ref")))
+    return carry_last(rows, ["session_id"], "block", "at", F.col("node"), "parent").select("session_id", "ref", "assistant", "usable", "node", "parent")
 
 
 def turns(windows: DataFrame, speakers: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """The messages of the kept sessions in order: session_id, turn_no, role, ref.
 
-    A message's parent is the one before it in its session (by time, then ref). The chains are cut into blocks of
-    time; a block's chain is short enough for one task and contracts to one node, which points at the block before.
-    Pointer jumping over these nodes gives the messages above each block, so no session is gathered in one task.
+    Every message points at the one before it in its session (by time, then ref). Pointer jumping resolves all chains; a
+    message whose chain ends at something that is no usable message is an orphan, and sessions with orphans or cycles
+    are left out, as are those whose root isn't the user's or whose leaf isn't the assistant's. The path from the root
+    to the leaf is the conversation: the turn is the depth. No session is gathered in one task.
     """
-    found = cut(messages(windows, speakers))
-    kept = kept_messages(found).withColumn("block", F.floor(F.col("said") / block_seconds))
-    kept = cut(kept)
-    blocks = kept.groupBy("session_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    name = F.concat_ws(":", F.col("block").cast("string"), "session_id")
-    by_session = Window.partitionBy("session_id").orderBy("block")
-    blocks = blocks.withColumn("node", name).withColumn("parent", F.lag("node").over(by_session)).withColumn("more", F.lead("node").over(by_session))
-    linked = blocks.where("parent is not null or more is not null")
-    depth = resolve_chains(linked, weight="n").select("node", "depth")
-    within = F.row_number().over(Window.partitionBy("session_id", "block").orderBy("said", "ref"))
-    return (
-        kept.withColumn("within", within)
-        .withColumn("node", name)
-        .join(depth, "node", "left")
-        .select(
-            "session_id",
-            (F.col("within") + F.coalesce("depth", F.lit(0))).cast("bigint").alias("turn_no"),
-            F.when(F.col("assistant"), "assistant").otherwise("user").alias("role"),
-            "ref",
-        )
+    linked = cut(linked_messages(cut(messages(windows, speakers)), block_seconds))
+    chains = resolve_chains(linked.where("usable").select("node", "parent"))
+    nodes = cut(linked.where("usable").join(chains, "node").select("session_id", "ref", "assistant", "depth", "status"))
+    sessions = nodes.groupBy("session_id").agg(
+        F.min(F.col("status") == "ok").alias("intact"), F.min_by("assistant", "depth").alias("first"), F.max_by("assistant", "depth").alias("last"), F.count_if(F.col("depth") == 0).alias("roots")
     )
+    kept = sessions.where("intact and roots = 1 and not first and last").select("session_id")
+    role = F.when(F.col("assistant"), "assistant").otherwise("user")
+    return nodes.join(kept, "session_id", "left_semi").select("session_id", (F.col("depth") + 1).cast("bigint").alias("turn_no"), role.alias("role"), "ref")
 
 
 def conversation_turns(windows: DataFrame, speakers: DataFrame) -> DataFrame:

@@ -70,3 +70,21 @@ def test_turns_against_brute_force(spark, rows):
 def test_empty(spark):
     empty = turns(spark.createDataFrame([], WINDOWS), spark.createDataFrame(SPEAKERS, "label string, role string"))
     assert empty.count() == 0
+
+
+def test_pointers_decide(spark, rows, monkeypatch):
+    """Orphans and cycles that the chains report drop their session; without the chains there are no turns."""
+    from pyspark.sql import functions as F
+
+    from palimpsest.llm import conversations
+
+    windows = [(wid(f"r{s}{m}", 0), f"r{s}{m}", f"s{s}", "Rowan" if m % 2 == 0 else "Tessel", 1.7e9 + m * (40 * 86400 if s == 1 else 60), "x", "", "conversation", "b", "n") for s in range(3) for m in range(4)]
+    df, speakers = spark.createDataFrame(windows, WINDOWS), spark.createDataFrame(SPEAKERS, "label string, role string")
+    linked = conversations.linked_messages(conversations.messages(df, speakers))
+    assert linked.where("parent is null").count() == 3 and linked.count() == 12
+    assert turns(df, speakers).count() == 12
+    real = conversations.resolve_chains
+    bad = linked.where("ref = 'r12'").select("node").first()[0]
+    for status in ("orphan", "cycle"):
+        monkeypatch.setattr(conversations, "resolve_chains", lambda n, s=status: real(n).withColumn("status", F.when(F.col("node") == bad, s).otherwise(F.col("status"))))
+        assert {r[0] for r in rows(turns(df, speakers), "session_id")} == {"s0", "s2"}
