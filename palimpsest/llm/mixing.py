@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from palimpsest.llm.truncation import norm_source
 from palimpsest.session import cut
 from palimpsest.sources.tables import table
 
-#: Blocks that a source's permutation is cut into; each is summed on its own.
-BLOCKS = 256
+#: Tokens of a block of a source's permutation; each block is summed on its own.
+BLOCK_TOKENS = 2_000_000
+#: How far, in half the sum of all differences, shares may be off the targets to let the mixture grow.
+MOST_OFF = 0.02
 ROUNDS = 60
 
 
@@ -29,40 +32,61 @@ def entropy(shares: dict[str, float]) -> float:
     return -sum(p * math.log(p) for p in shares.values() if p > 0)
 
 
-def exponent_for_entropy(shares: dict[str, float], wanted: float) -> float:
-    """The exponent whose tempered shares have the wanted entropy, as near as 0 to 16 allow."""
-    low, high = 0.0, 16.0
+def bisected(fits, low: float, high: float) -> float:
+    """The lowest exponent from ``low`` to ``high`` that fits, if all above it do."""
+    if fits(low):
+        return low
     for _ in range(ROUNDS):
         middle = (low + high) / 2
-        low, high = (middle, high) if entropy(tempered(shares, middle)) > wanted else (low, middle)
-    return (low + high) / 2
+        low, high = (low, middle) if fits(middle) else (middle, high)
+    return high
 
 
 def largest_size(shares: dict[str, float], room: dict[str, float]) -> float:
     """Tokens of the largest mixture of these shares in which no source gives more than its room."""
-    return min(room[s] / p for s, p in shares.items() if p > 0)
+    return min((room[s] / p for s, p in shares.items() if p > 0), default=0.0)
 
 
-def weights(targets: dict[str, float], room: dict[str, float], size: float | None = None) -> tuple[dict[str, float], float, float]:
-    """Shares, exponent and tokens of the mixture.
+def off(shares: dict[str, float], targets: dict[str, float]) -> float:
+    """Half the sum of the differences of two sets of shares."""
+    return sum(abs(shares.get(s, 0) - p) for s, p in targets.items()) / 2
 
-    Without ``size`` the shares are the targets (exponent 1) and the mixture is as large as the repetition limits allow.
-    With it, the targets are multiplied by room-to-target ratios tempered just so far that ``size`` fits in; the largest
-    that fits is made if none does.
+
+@dataclass(frozen=True)
+class Weights:
+    """Shares of a mixture, the exponent they come from, and its tokens."""
+
+    shares: dict[str, float]
+    exponent: float
+    tokens: float
+
+
+def weights(targets: dict[str, float], room: dict[str, float], size: float | None = None, wanted_entropy: float | None = None, most_off: float = MOST_OFF) -> Weights:
+    """Shares of a mixture by one exponent.
+
+    A share is proportional to target * (room share / target) ** (1 - exponent): 1 gives the targets, 0 the shares of
+    what there is with all allowed repetitions. The exponent is bisected to the lowest one that fits: with
+    ``wanted_entropy`` it is the room shares themselves that are raised to it until their entropy is met; with ``size``,
+    that whose mixture has that many tokens within the repetition limits (the highest exponent that does); else that whose
+    shares are at most ``most_off`` from the targets, for the largest mixture that the limits allow there.
     """
     targets = tempered({s: p for s, p in targets.items() if room.get(s, 0) > 0}, 1.0)
     if not targets:
-        return {}, 1.0, 0.0
-    if size is None or largest_size(targets, room) >= size:
-        return targets, 1.0, min(size or math.inf, largest_size(targets, room))
-    total = sum(room[s] for s in targets)
-    ratio = {s: room[s] / total / p for s, p in targets.items()}
-    mixed = lambda e: tempered({s: p * ratio[s] ** (1 - e) for s, p in targets.items()}, 1.0)
-    low, high = 0.0, 1.0
-    for _ in range(ROUNDS):
-        middle = (low + high) / 2
-        low, high = (middle, high) if largest_size(mixed(middle), room) >= size else (low, middle)
-    return mixed(low), low, min(size, largest_size(mixed(low), room))
+        return Weights({}, 1.0, 0.0)
+    there = tempered({s: room[s] for s in targets}, 1.0)
+    if wanted_entropy is not None:
+        exponent = bisected(lambda e: entropy(tempered(there, e)) <= wanted_entropy, 0.0, 16.0)
+        shares = tempered(there, exponent)
+        return Weights(shares, exponent, min(size or math.inf, largest_size(shares, room)))
+
+    def mixed(exponent: float) -> dict[str, float]:
+        return tempered({s: p * (there[s] / p) ** (1 - exponent) for s, p in targets.items()}, 1.0)
+
+    if size is not None:
+        exponent = 1.0 - bisected(lambda x: largest_size(mixed(1.0 - x), room) >= size, 0.0, 1.0)
+        return Weights(mixed(exponent), exponent, min(size, largest_size(mixed(exponent), room)))
+    exponent = bisected(lambda e: off(mixed(e), targets) <= most_off, 0.0, 1.0)
+    return Weights(mixed(exponent), exponent, largest_size(mixed(exponent), room))
 
 
 def measured_texts(documents: DataFrame) -> DataFrame:
@@ -72,48 +96,60 @@ def measured_texts(documents: DataFrame) -> DataFrame:
     return one.select("x.source", "x.doc_id", token_count(F.col("text")).alias("tokens")).where("tokens > 0")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, size: float | None = None, seed: int = 7) -> DataFrame:
-    """Texts of the mixture: source, doc_id, copy, tokens, place.
-
-    ``targets``: source, target_share, max_repeats. A source's texts are permuted by a hash in blocks; whole passes are
-    repeated, and a last one ends at the block and text where the budget does. ``place`` (0 to 1) is where the text
-    stands in the mixture; ordering by it interleaves the sources evenly. Sources without texts or targets give nothing;
-    a null max_repeats means 1.
-    """
-    texts = cut(measured_texts(documents))
+def planned(texts: DataFrame, targets: DataFrame, size: float | None, wanted_entropy: float | None, most_off: float) -> tuple[Weights, dict[str, int], dict[str, float]]:
+    """Weights of the mixture, tokens there are and target shares, by source; a few rows on the driver."""
     wanted = targets.groupBy(norm_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("most"))
     plan = [x for x in wanted.collect() if x.share and x.share > 0 and x.most > 0]  # a fixed few
     sums = {x.source: x.tokens for x in texts.join(F.broadcast(wanted), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}  # at most a row a target
     room = {x.source: sums.get(x.source, 0) * x.most for x in plan}
-    shares, _, total = weights({x.source: x.share for x in plan}, room, size)
+    return weights({x.source: x.share for x in plan}, room, size, wanted_entropy, most_off), sums, {x.source: x.share for x in plan}
+
+
+def mixture(documents: DataFrame, targets: DataFrame, size: float | None = None, wanted_entropy: float | None = None, most_off: float = MOST_OFF, seed: int = 7, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Texts of the mixture: source, doc_id, copy, tokens, place, exponent.
+
+    ``targets``: source, target_share, max_repeats; ``size``, ``wanted_entropy`` and ``most_off`` as in weights. A
+    source's texts are permuted by a hash in blocks; whole passes are repeated, and of a last one those texts are taken
+    of which at least half is within the budget. ``place`` (0 to 1) is where the text stands in the mixture; ordering by
+    it interleaves the sources evenly. Sources without texts or targets give nothing; a null max_repeats means 1.
+    """
+    texts = cut(measured_texts(documents))
+    weighed, sums, _ = planned(texts, targets, size, wanted_entropy, most_off)
     spark = texts.sparkSession
-    budget = spark.createDataFrame([(s, float(math.floor(p * total)), int(sums[s])) for s, p in shares.items()], "source string, budget double, available bigint")
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    rows = texts.join(F.broadcast(budget), "source").withColumn("order", order).withColumn("block", F.pmod(F.shiftright("order", 40), F.lit(BLOCKS)))
-    rows = cut(rows)
+    budget = spark.createDataFrame(
+        [(s, p * weighed.tokens, int(sums[s]), max(1, -(-sums[s] // block_tokens))) for s, p in weighed.shares.items()], "source string, budget double, available bigint, blocks bigint"
+    )
+    rows = texts.join(F.broadcast(budget), "source").withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = cut(rows.withColumn("block", F.floor((F.shiftright("order", 32) + 2**31) * F.col("blocks") / 2**32)))
     blocks = rows.groupBy("source", "block").agg(F.sum("tokens").alias("sum"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("source", "block", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("offset"))  # BLOCKS rows a target
+    blocks = blocks.select("source", "block", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("offset"))  # a row for each BLOCK_TOKENS
     inside = Window.partitionBy("source", "block").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("tokens").over(inside)).join(F.broadcast(blocks), ["source", "block"])
+    rows = rows.withColumn("upto", F.sum("tokens").over(inside)).join(blocks, ["source", "block"])
     upto = F.col("upto") + F.col("offset")
-    passes = F.floor(F.col("budget") / F.col("available"))
-    copies = passes + (upto <= F.col("budget") - passes * F.col("available")).cast("int")
+    passes = F.floor(F.col("budget") / F.col("available") + 1e-9)
+    rest = F.col("budget") - passes * F.col("available")
+    copies = passes + ((upto - F.col("tokens") / 2 <= rest) & (rest > 0.5)).cast("int")
     rows = rows.withColumns({"copies": copies.cast("int"), "start": upto - F.col("tokens")}).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    place = ((F.col("copy") - 1) * F.col("available") + F.col("start")) / F.col("budget")
-    return rows.select("source", "doc_id", "copy", "tokens", F.round(place, 9).alias("place"))
+    place = F.least(((F.col("copy") - 1) * F.col("available") + F.col("start")) / F.col("budget"), F.lit(1.0))
+    return rows.select("source", "doc_id", "copy", "tokens", F.round(place, 9).alias("place"), F.round(F.lit(float(weighed.exponent)), 6).alias("exponent"))
 
 
 def mixture_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """By target source: its share wanted and reached, tokens, texts and most copies of one."""
-    used = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("texts"), F.max("copy").alias("most_copies"))
-    whole = used.agg(F.sum("tokens").alias("all"))
-    wanted = targets.select(norm_source(F.col("source")).alias("source"), "target_share", "max_repeats")
-    joined = wanted.join(used, "source", "left").join(F.broadcast(whole))  # one row
-    return joined.select(
-        "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-        F.round(F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)), 6).alias("reached_share"),
+    """By target source: its share wanted and reached, tokens, texts and most copies of one, and, equal in all rows, the
+    exponent, the entropy of the shares reached and that of the wanted ones of sources with texts."""
+    used = cut(mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("texts"), F.max("copy").alias("most_copies"), F.max("exponent").alias("exponent")))
+    wanted = targets.groupBy(norm_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
+    joined = wanted.join(used, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    sums = joined.agg(F.sum("tokens").alias("all"), F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).alias("held"), F.max("exponent").alias("exponent"))
+    joined = joined.drop("exponent").join(F.broadcast(sums))  # one row
+    reached = F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0))
+    joined = joined.withColumns({"reached": reached, "held_share": F.when(F.col("tokens") > 0, F.col("target_share") / F.col("held"))})
+    bits = joined.agg(F.sum(F.when(F.col("reached") > 0, -F.col("reached") * F.log("reached"))).alias("entropy"), F.sum(-F.col("held_share") * F.log("held_share")).alias("wanted_entropy"))
+    return joined.join(F.broadcast(bits)).select(
+        "source", "target_share", "max_repeats", "tokens", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+        F.round("reached", 6).alias("reached_share"), "exponent", F.round("entropy", 6).alias("entropy"), F.round("wanted_entropy", 6).alias("wanted_entropy"),
     )
 
 

@@ -48,10 +48,16 @@ def test_exponents():
     shares = {"a": 0.7, "b": 0.2, "c": 0.1}
     flat = mixing.tempered(shares, 0.0)
     assert all(abs(p - 1 / 3) < 1e-9 for p in flat.values())
-    e = mixing.exponent_for_entropy(shares, 1.0)
-    assert abs(mixing.entropy(mixing.tempered(shares, e)) - 1.0) < 1e-6
-    weights, exponent, total = mixing.weights(shares, {"a": 100, "b": 100, "c": 10}, 150)
-    assert exponent < 1 and total == pytest.approx(150) and all(weights[s] * total <= m + 1e-6 for s, m in {"a": 100, "b": 100, "c": 10}.items())
+    room = {"a": 100, "b": 100, "c": 10}
+    by_size = mixing.weights(shares, room, size=150)
+    assert by_size.exponent < 1 and by_size.tokens == pytest.approx(150) and all(by_size.shares[s] * 150 <= m + 1e-6 for s, m in room.items())
+    assert mixing.weights(shares, room, size=80).exponent == pytest.approx(1) and mixing.weights(shares, room, size=80).shares == pytest.approx(shares)
+    by_entropy = mixing.weights(shares, room, wanted_entropy=0.8)
+    assert mixing.entropy(by_entropy.shares) == pytest.approx(0.8) and by_entropy.exponent > 1 and by_entropy.shares["a"] == pytest.approx(by_entropy.shares["b"])
+    free = mixing.weights(shares, room)
+    exact = mixing.weights(shares, room, most_off=0.0)
+    assert mixing.off(free.shares, shares) == pytest.approx(mixing.MOST_OFF, abs=1e-6) and free.exponent < 1 and free.tokens > exact.tokens and exact.shares == pytest.approx(shares)
+    assert mixing.weights({"a": 1.0}, {}).shares == {} and mixing.bisected(lambda e: e >= 0.25, 0.0, 1.0) == pytest.approx(0.25)
 
 
 def test_mixture(spark):
@@ -62,9 +68,15 @@ def test_mixture(spark):
     mixed = mixing.mixture(df, targets)
     got = mixed.toPandas()
     share = got.groupby("source").tokens.sum() / got.tokens.sum()
-    assert abs(share["big_source"] - 2 / 3) < 0.02 and abs(share["small"] - 1 / 3) < 0.02
+    assert abs(share["big_source"] - 2 / 3) < 0.03 and abs(share["small"] - 1 / 3) < 0.03
+    assert got.exponent.nunique() == 1 and 0 < got.exponent[0] < 1  # small's repetitions bind, so the exponent gives way as far as MOST_OFF lets it
+    blocked = mixing.mixture(df, targets, block_tokens=40).toPandas()
+    assert len(blocked) > 0 and abs(blocked.tokens.sum() - got.tokens.sum()) <= 60 and blocked[blocked.source == "small"].tokens.sum() == got[got.source == "small"].tokens.sum()
+    sized = mixing.mixture(df, targets, size=2000).toPandas()
+    assert abs(sized.tokens.sum() - 2000) < 150
     assert got["copy"].max() == 3 and not got.duplicated(["doc_id", "copy"]).any() and got[got.source == "big_source"]["copy"].max() == 1
     assert got.place.between(0, 1).all()
     report = {r.source: r for r in mixing.mixture_report(mixed, targets).collect()}
     assert report["absent"].tokens == 0 and report["small"].most_copies == 3
+    assert report["small"].exponent == pytest.approx(got.exponent[0]) and report["small"].entropy < report["small"].wanted_entropy + 0.05 and report["absent"].reached_share == 0
     assert mixing.mixture(df.where("false"), targets).count() == 0
