@@ -1,12 +1,14 @@
 """Containers of a fixed capacity filled with texts (problem 7).
 
 The histogram of lengths is fitted by repeat counts of combinations that fill a container almost whole (non-negative
-least squares); the counts are rounded, each item takes its place by its rank among those of its length, and the few
-items left are packed greedily in parts.
+least squares); the counts are rounded, and what is left of the histogram is fitted anew until little is left, which is
+packed greedily, still as a histogram. Each item takes its place by its rank among those of its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,8 +23,10 @@ UNITS = 1024
 #: Partners tried for each length, and steps that a combination may leave free.
 PARTNERS, WINDOW = 24, 2
 ITERATIONS = 300
-#: Items of a length are ranked, and left ones packed, in so many salted parts or parts of so many items.
-SALTS, PART_ITEMS = 64, 20_000
+#: The histogram is fitted anew until this part of its steps is left, or so many times.
+LEFT, FITS = 0.03, 12
+#: Items of one length that are ranked in one part.
+PART_ITEMS = 100_000
 
 
 def combinations(histogram: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +78,7 @@ def repeat_counts(histogram: np.ndarray, lengths: np.ndarray, times: np.ndarray)
     x = np.full(len(lengths), max(1.0, h.sum() / max(1, len(lengths)) / 4))
     wanted = (h[lengths] * times).sum(1)
     for _ in range(ITERATIONS):
-        used = np.zeros_like(h)
-        np.add.at(used, lengths.ravel(), (times * x[:, None]).ravel())
+        used = np.bincount(lengths.ravel(), (times * x[:, None]).ravel(), len(h))
         x *= wanted / np.maximum((used[lengths] * times).sum(1), 1e-9)
     left, out = histogram.astype(int).copy(), np.zeros(len(lengths), int)
     for most in (np.floor(x).astype(int), np.full(len(x), histogram.sum() + 1)):
@@ -88,101 +91,132 @@ def repeat_counts(histogram: np.ndarray, lengths: np.ndarray, times: np.ndarray)
     return out
 
 
-def places(lengths: np.ndarray, times: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-    """Ranges of ranks that the combinations take: units, first, stop, times, combination."""
+def greedy_combinations(histogram: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
+    """Combinations, as (length, times) pairs, and their counts that use up a histogram: the longest item first, then
+    the longest that fits. Each is repeated until a length runs out, so there are few."""
+    left, units, out = histogram.astype(np.int64).copy(), len(histogram) - 1, []
+    while left.any():
+        room, taken = units, {}
+        for u in np.flatnonzero(left)[::-1]:
+            n = min(room // u, int(left[u]))
+            if n:
+                taken[int(u)] = int(n)
+                room -= n * u
+        repeats = min(int(left[u]) // n for u, n in taken.items())
+        for u, n in taken.items():
+            left[u] -= n * repeats
+        out.append((list(taken.items()), repeats))
+    return out
+
+
+def fitted(histogram: np.ndarray) -> list[tuple[list[tuple[int, int]], int, bool]]:
+    """Combinations that use up the histogram, their counts, and whether they come from the least squares."""
+    left, units, out = histogram.astype(np.int64).copy(), np.arange(len(histogram)), []
+    whole = (left * units).sum()
+    for n in range(FITS):
+        if (left * units).sum() <= LEFT * whole:
+            break
+        lengths, times = combinations(left, seed=7 + n)
+        counts = repeat_counts(left, lengths, times)
+        if not counts.any():
+            break
+        for p in np.flatnonzero(counts):
+            pairs = [(int(u), int(k)) for u, k in zip(lengths[p], times[p], strict=True) if k]
+            out.append((pairs, int(counts[p]), True))
+            for u, k in pairs:
+                left[u] -= k * counts[p]
+    return out + [(pairs, n, False) for pairs, n in greedy_combinations(left)]
+
+
+def places(combined: list[tuple[list[tuple[int, int]], int, bool]]) -> pd.DataFrame:
+    """Ranges of ranks that the combinations take: units, first, stop, times, combination, by_squares."""
     rows, taken = [], {}
-    for p in np.flatnonzero(counts):
-        for u, k in zip(lengths[p], times[p], strict=True):
-            if k:
-                first = taken.get(u, 0)
-                taken[u] = first + k * counts[p]
-                rows.append((int(u), int(first), int(taken[u]), int(k), int(p)))
-    return pd.DataFrame(rows, columns=["units", "first", "stop", "times", "combination"])
+    for p, (pairs, count, by_squares) in enumerate(combined):
+        for u, k in pairs:
+            first = taken.get(u, 0)
+            taken[u] = first + k * count
+            rows.append((u, first, taken[u], k, p, by_squares))
+    return pd.DataFrame(rows, columns=["units", "first", "stop", "times", "combination", "by_squares"])
+
 
+def items_of(documents: DataFrame, pack_sizes: DataFrame) -> DataFrame:
+    """Items of texts measured in ``tokens`` for each pack size: pack_name, capacity, doc_id, piece, tokens. A text above
+    the capacity is cut into full pieces and a rest."""
+    sizes = pack_sizes.where("capacity_tokens > 0").groupBy("pack_name").agg(F.max("capacity_tokens").alias("capacity"))
+    rows = documents.where("tokens > 0").join(F.broadcast(sizes))  # a fixed few
+    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("tokens") / F.col("capacity")).cast("int") - 1)))
+    return rows.select("pack_name", "capacity", "doc_id", "piece", F.least("capacity", F.col("tokens") - F.col("piece") * F.col("capacity")).cast("int").alias("tokens"))
 
-def items_of(documents: DataFrame, capacity: int) -> DataFrame:
-    """Items of texts measured in ``tokens``: doc_id, piece, tokens. A text above the capacity is cut into full pieces and a rest."""
-    pieces = F.sequence(F.lit(0), F.ceil(F.col("tokens") / capacity).cast("int") - 1)
-    rows = documents.where("tokens > 0").select("doc_id", "tokens", F.explode(pieces).alias("piece"))
-    return rows.select("doc_id", "piece", F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("int").alias("tokens"))
 
+_RANGES = "pack_name string, units int, first bigint, stop bigint, times int, combination int, by_squares boolean"
 
-def packed(items: DataFrame, capacity: int) -> DataFrame:
-    """``items`` (doc_id, piece, tokens; tokens at most the capacity) with ``container``, unique in the result.
 
-    Items of one length are ranked in salted parts, so one length may hold most items. The histogram and the ranges have
-    at most UNITS entries and are handled on the driver and broadcast.
+def _fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    histogram = np.zeros(min(UNITS, int(rows["capacity"].iloc[0])) + 1, np.int64)
+    histogram[rows["units"]] = rows["n"]
+    return places(fitted(histogram)).assign(pack_name=key[0])[["pack_name", "units", "first", "stop", "times", "combination", "by_squares"]]
+
+
+def packed(items: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
+    """``items`` (pack_name, capacity, doc_id, piece, tokens; tokens at most the capacity) with ``container``, unique
+    in its pack, and ``by_squares``, whether its combination comes from the least squares.
+
+    Items of one length are ranked in parts, so one length may hold most items. A pack's histogram has at most UNITS
+    entries and is fitted in one task; the ranges that it gives, a few for each entry, go to all tasks.
     """
-    spark, units = items.sparkSession, min(UNITS, capacity)
-    step = capacity / units
-    items = items.withColumn("units", F.ceil(F.col("tokens") / step).cast("int"))
-    items = cut(items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    parts = cut(items.groupBy("units", "salt").agg(F.count(F.lit(1)).alias("n")))
-    histogram = np.zeros(units + 1, np.int64)
-    for row in parts.groupBy("units").agg(F.sum("n").alias("n")).collect():  # at most UNITS rows
-        histogram[row.units] = row.n
-    lengths, times = combinations(histogram)
-    ranges = places(lengths, times, repeat_counts(histogram, lengths, times))
-    before = Window.partitionBy("units").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("units", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # at most UNITS * SALTS rows
-    within = F.row_number().over(Window.partitionBy("units", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = items.withColumn("within", within).join(F.broadcast(offsets), ["units", "salt"]).withColumn("rank", F.col("within") + F.col("offset"))
-    taken = ranges.groupby("units").agg(list).reset_index() if len(ranges) else pd.DataFrame({c: [] for c in ranges.columns})
-    by_length = spark.createDataFrame(
-        [(int(r.units), [(int(a), int(b), int(k), int(p)) for a, b, k, p in zip(r.first, r.stop, r.times, r.combination, strict=True)]) for r in taken.itertuples(index=False)],
-        "units int, ranges array<struct<first: bigint, stop: bigint, times: int, combination: int>>",
-    )
-    hit = F.get(F.filter("ranges", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["stop"])), F.lit(0))
-    ranked = ranked.join(F.broadcast(by_length), "units", "left").withColumn("hit", hit)
-    name = F.concat_ws(":", F.lit("c"), F.col("hit.combination"), F.floor((F.col("rank") - F.col("hit.first")) / F.col("hit.times")))
-    placed = cut(ranked.select("doc_id", "piece", "tokens", F.when(F.col("hit").isNotNull(), name).alias("container")))
-    rest = placed.where("container is null").drop("container")
-    groups = max(1, -(-rest.count() // PART_ITEMS))
-
-    def greedy(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        """Best fit, the longest item first; free room is kept by size."""
-        frame = frame.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True])
-        free: list[list[int]] = [[] for _ in range(capacity + 1)]
-        rooms = np.zeros(capacity + 1, np.int64)
-        out, n = [], 0
-        for tokens in frame["tokens"]:
-            fits = np.flatnonzero(rooms[tokens:])
-            if len(fits):
-                room = int(fits[0]) + tokens
-                box = free[room].pop()
-                rooms[room] -= 1
-            else:
-                box, room, n = n, capacity, n + 1
-            free[room - tokens].append(box)
-            rooms[room - tokens] += 1
-            out.append(f"r:{key[0]}:{box}")
-        return frame.assign(container=out)[["doc_id", "piece", "tokens", "container"]]
-
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("piece", "doc_id"), F.lit(groups)))
-    left = rest.groupBy("part").applyInPandas(greedy, "doc_id bigint, piece int, tokens int, container string")
-    return placed.where("container is not null").union(left)
+    units = F.ceil(F.col("tokens") * F.least(F.lit(UNITS), F.col("capacity")) / F.col("capacity")).cast("int")
+    items = cut(items.withColumn("units", units))
+    counts = items.groupBy("pack_name", "capacity", "units").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts)
+    found = counts.groupBy("pack_name").applyInPandas(_fit, _RANGES).toPandas()  # a few for each entry of the histograms
+    tables = {}
+    for name, rows in found.groupby("pack_name"):
+        rows = rows.sort_values(["units", "first"])
+        tables[name] = (rows["units"].to_numpy(np.int64) * 2**44 + rows["first"].to_numpy(np.int64), *(rows[c].to_numpy() for c in ("first", "times", "combination", "by_squares")))
+
+    parts = counts.select("pack_name", "units", F.ceil(F.col("n") / part_items).alias("parts"))
+    parted = items.join(F.broadcast(parts), ["pack_name", "units"]).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")))
+    sums = parted.groupBy("pack_name", "units", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("pack_name", "units").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("pack_name", "units", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("pack_name", "units", "part").orderBy("doc_id", "piece")) - 1
+    ranked = parted.withColumn("within", within).join(offsets, ["pack_name", "units", "part"])
+    ranked = ranked.select("pack_name", "doc_id", "piece", "tokens", "units", (F.col("within") + F.col("offset")).alias("rank"))
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for name, rows in frame.groupby("pack_name"):
+                keys, first, times, combination, by_squares = tables[name]
+                rank = rows["rank"].to_numpy(np.int64)
+                at = np.searchsorted(keys, rows["units"].to_numpy(np.int64) * 2**44 + rank, "right") - 1
+                number = (rank - first[at]) // times[at]
+                named = [f"{c}:{n}" for c, n in zip(combination[at], number, strict=True)]
+                out.append(rows.assign(container=named, by_squares=by_squares[at])[["pack_name", "container", "doc_id", "piece", "tokens", "by_squares"]])
+            yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("pack_name", "container", "doc_id", "piece", "tokens", "by_squares")})
+
+    return ranked.mapInPandas(place, "pack_name string, container string, doc_id bigint, piece int, tokens int, by_squares boolean")
 
 
 def containers(documents: DataFrame, pack_sizes: DataFrame) -> DataFrame:
-    """All texts in containers of each pack size: pack_name, container, doc_id, piece, tokens.
+    """All texts in containers of each pack size: pack_name, container, doc_id, piece, tokens, by_squares.
 
-    Null, empty and token-free texts aren't items. Copies of a text are items of their own.
+    Null, empty and token-free texts aren't items. Copies of a text are items of their own. Pack sizes that are null or
+    not above 0 don't count; of several sizes of one name the largest does; without any there are no rows.
     """
     measured = cut(documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), token_count(F.col("text")).alias("tokens")))
-    out = None
-    for size in pack_sizes.where("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().orderBy("pack_name").collect():  # a fixed few
-        part = packed(items_of(measured, size.capacity_tokens), size.capacity_tokens).select(F.lit(size.pack_name).alias("pack_name"), "container", "doc_id", "piece", "tokens")
-        out = part if out is None else out.union(part)
-    return out
+    return packed(items_of(measured, pack_sizes))
 
 
 def fill_report(filled: DataFrame, pack_sizes: DataFrame) -> DataFrame:
-    """Containers, tokens and share of the room used by pack size, beside the fewest containers there could be."""
-    used = filled.groupBy("pack_name").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
-    used = used.join(F.broadcast(pack_sizes.distinct()), "pack_name")
+    """Containers, tokens and share of the room used by pack size, beside the fewest containers there could be, and the
+    share of the tokens that the least squares placed."""
+    one = filled.groupBy("pack_name", "container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"), F.sum(F.when(F.col("by_squares"), F.col("tokens")).otherwise(0)).alias("by_squares"))
+    used = one.groupBy("pack_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("items").alias("items"), F.sum("by_squares").alias("by_squares"))
+    used = used.join(F.broadcast(pack_sizes.groupBy("pack_name").agg(F.max("capacity_tokens").alias("capacity_tokens"))), "pack_name")
     return used.select(
         "pack_name", "items", "tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"),
-        F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled"),
+        F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled"), F.round(F.col("by_squares") / F.col("tokens"), 6).alias("by_squares"),
     )
 
 

@@ -31,7 +31,27 @@ def test_containers(spark, rows):
         assert set(part[part.piece > 0].doc_id) == {k for k, n in tokens.items() if n > cap}
     report = {r.pack_name: r for r in packing.fill_report(filled, sizes).collect()}
     assert all(r.filled > 0.9 for r in report.values()), report
-    assert packing.containers(df.where("false"), sizes).count() == 0
+    assert report["b"].by_squares > 0.95 and report["a"].by_squares > 0.6, report  # half of a's lengths have no partners that fill it
+    assert packing.containers(df.where("false"), sizes).count() == 0 and packing.containers(df, sizes.where("false")).count() == 0
+    items = packing.items_of(df.select("doc_id", token_count("text").alias("tokens")), sizes)
+    tiny = packing.packed(items, part_items=2).toPandas()
+    assert tiny.groupby(["pack_name", "container"]).tokens.sum().groupby("pack_name").max().to_dict() == {"a": 128, "b": 400}
+    assert len(tiny) == len(got) and tiny.groupby("pack_name").container.nunique().equals(got.groupby("pack_name").container.nunique())
+
+
+def test_fit_uses_up_the_histogram():
+    rng = np.random.default_rng(4)
+    for units in (1, 7, 64, 300):
+        h = np.zeros(units + 1, np.int64)
+        for u in rng.integers(1, units + 1, 40):
+            h[u] += rng.integers(1, 30)
+        used = np.zeros_like(h)
+        for pairs, n, _ in packing.fitted(h):
+            assert sum(u * k for u, k in pairs) <= units and n > 0
+            for u, k in pairs:
+                used[u] += k * n
+        assert (used == h).all()
+    assert packing.fitted(np.zeros(5, np.int64)) == []
 
 
 def test_repeat_counts_hold():
