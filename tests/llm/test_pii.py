@@ -7,7 +7,7 @@ GIVEN, FAMILY = ["grace", "thomas", "maria", "may", "hope", "rené", "clement"],
 
 @pytest.fixture(scope="module")
 def machine():
-    return pii.automaton(GIVEN, FAMILY)
+    return pii.automaton({**dict.fromkeys(FAMILY, "F"), **dict.fromkeys(GIVEN, "G")})
 
 
 @pytest.mark.parametrize(
@@ -28,11 +28,15 @@ def machine():
         ("Mr Garhadson left. Zolvudan told me the pump is old.", [("name", "Garhadson"), ("name", "Zolvudan")]),
         ("Prof. Dr. Garhadson left", [("name", "Garhadson")]),
         ("MARIA’s list, René", [("name", "MARIA"), ("name", "René")]),
+        ("see tel:0161-4960718 or tel:+441614960718", [("phone", "0161-4960718"), ("phone", "441614960718")]),
+        ("my passport 12-34 55 66 7", [("id_number", "12-34 55 66 7")]),
+        ("mail mailto:a.b@c.example!", [("email", "a.b@c.example")]),
+        ("P.O. Box 170, Garmouth Hill", [("address", "P.O. Box 170")]),
         ("", []),
     ],
 )
 def test_items(machine, text, items):
-    found = [(k, text[pii._placed(text, a) : b]) for k, a, b in pii.find_items(text, machine)]
+    found = [(k, text[a:b].lstrip("+( ")) for k, a, b in pii.find_items(text, machine)]
     assert [x[0] for x in found] == [x[0] for x in items]
     for (_, got), (_, want) in zip(found, items, strict=True):
         assert got == want or got.startswith(want) or want.startswith(got)
@@ -48,13 +52,31 @@ def test_tables(spark, rows):
     actions = spark.createDataFrame([("a1", "Call 07700 900547"), ("a2", None)], "id string, request_text string")
     entities = spark.createDataFrame([("e", "Grace Hesbadham", "person", None), ("f", "Grace Zushokham", "person", "the boss"), (None, None, None, None)], "id string, name string, type string, aliases string")
     both = pii.texts(windows, actions)
-    passes = pii.name_passes(entities, both)
-    found = pii.scan(both, passes)
+    names = pii.all_name_parts(entities, both)
+    assert {(r.part, r.role) for r in names.where("part in ('grace', 'hesbadham', 'zushokham')").collect()} == {("grace", "G"), ("hesbadham", "F"), ("zushokham", "F")}
     want = [("actions", "a1", "phone", 5), ("windows", "w1", "email", 23), ("windows", "w1", "name", 4)]
-    assert rows(found, "source_table", "row_id", "kind", "start_pos") == want
-    assert len(pii.name_passes(entities, both, size=len(pii.GIVEN) + 5)) == 1
-    shards = [(g, [f]) for g, fs in passes for f in fs] or passes
-    assert rows(pii.scan(both, shards), "source_table", "row_id", "kind", "start_pos") == want
-    texts = {r.row_id: r.text for r in pii.redacted(both, passes).collect()}
-    assert texts["w1"] == "Ask [NAME] or [EMAIL]" and texts["a1"] == "Call [PHONE]" and texts["w3"] == ""
-    assert pii.scan(both.where("false"), passes).count() == 0
+    assert rows(pii.scan(both, names), "source_table", "row_id", "kind", "start_pos") == want
+    few = names.where("part in ('grace', 'hesbadham', 'zushokham', 'maria')")
+    for size in (1000, 2, 1):  # in one pass, and in passes of a name or two
+        assert rows(pii.scan(both, few, size), "source_table", "row_id", "kind", "start_pos") == want
+        texts = {r.row_id: r.text for r in pii.redacted(both, few, size).collect()}
+        assert texts["w1"] == "Ask [NAME] or [EMAIL]" and texts["a1"] == "Call [PHONE]" and texts["w3"] == ""
+    assert pii.scan(both.where("false"), names).count() == 0
+    by_block = {r.part for r in pii.all_name_parts(entities, both, size=40).collect()}
+    assert by_block == {r.part for r in names.collect()}
+
+
+def test_nothing_without_anchors(machine):
+    """Parsers start at anchors only: an automaton without the marks of a kind finds none of it."""
+    import ahocorasick
+
+    text = "Write to a.b@mail.example, call 0161 496 0718 or ask at 12630 N Station St, DNI 00417239L"
+    kinds = {k for k, _, _ in pii.find_items(text, machine)}
+    assert kinds == {"email", "phone", "address", "id_number"}
+    for mark, lost in (("@", {"email"}), ("0123456789", {"phone", "id_number", "address"})):
+        bare = ahocorasick.Automaton()
+        for word, (k, n) in machine.items():
+            if word not in mark:
+                bare.add_word(word, (k, n))
+        bare.make_automaton()
+        assert not lost & {k for k, _, _ in pii.find_items(text, bare)}
