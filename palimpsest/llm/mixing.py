@@ -18,6 +18,8 @@ from palimpsest.sources.tables import table
 BLOCK_TOKENS = 2_000_000
 #: How far, in half the sum of all differences, shares may be off the targets to let the mixture grow.
 MOST_OFF = 0.02
+#: Wanted tokens of the registered mixture, as a share of the tokens that the sources with targets have.
+SIZE_SHARE = 0.25
 ROUNDS = 60
 
 
@@ -96,25 +98,27 @@ def measured_texts(documents: DataFrame) -> DataFrame:
     return one.select("x.source", "x.doc_id", token_count(F.col("text")).alias("tokens")).where("tokens > 0")
 
 
-def planned(texts: DataFrame, targets: DataFrame, size: float | None, wanted_entropy: float | None, most_off: float) -> tuple[Weights, dict[str, int], dict[str, float]]:
+def planned(texts: DataFrame, targets: DataFrame, size: float | None, wanted_entropy: float | None, most_off: float, size_share: float | None = None) -> tuple[Weights, dict[str, int], dict[str, float]]:
     """Weights of the mixture, tokens there are and target shares, by source; a few rows on the driver."""
     wanted = targets.groupBy(norm_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("most"))
     plan = [x for x in wanted.collect() if x.share and x.share > 0 and x.most > 0]  # a fixed few
     sums = {x.source: x.tokens for x in texts.join(F.broadcast(wanted), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}  # at most a row a target
     room = {x.source: sums.get(x.source, 0) * x.most for x in plan}
+    size = size if size_share is None else size_share * sum(sums.values())
     return weights({x.source: x.share for x in plan}, room, size, wanted_entropy, most_off), sums, {x.source: x.share for x in plan}
 
 
-def mixture(documents: DataFrame, targets: DataFrame, size: float | None = None, wanted_entropy: float | None = None, most_off: float = MOST_OFF, seed: int = 7, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, size: float | None = None, wanted_entropy: float | None = None, most_off: float = MOST_OFF, size_share: float | None = None, seed: int = 7, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Texts of the mixture: source, doc_id, copy, tokens, place, exponent.
 
-    ``targets``: source, target_share, max_repeats; ``size``, ``wanted_entropy`` and ``most_off`` as in weights. A
+    ``targets``: source, target_share, max_repeats; ``size``, ``wanted_entropy`` and ``most_off`` as in weights;
+    ``size_share`` gives the size as a share of the tokens there are. A
     source's texts are permuted by a hash in blocks; whole passes are repeated, and of a last one those texts are taken
     of which at least half is within the budget. ``place`` (0 to 1) is where the text stands in the mixture; ordering by
     it interleaves the sources evenly. Sources without texts or targets give nothing; a null max_repeats means 1.
     """
     texts = cut(measured_texts(documents))
-    weighed, sums, _ = planned(texts, targets, size, wanted_entropy, most_off)
+    weighed, sums, _ = planned(texts, targets, size, wanted_entropy, most_off, size_share)
     spark = texts.sparkSession
     budget = spark.createDataFrame(
         [(s, p * weighed.tokens, int(sums[s]), max(1, -(-sums[s] // block_tokens))) for s, p in weighed.shares.items()], "source string, budget double, available bigint, blocks bigint"
@@ -154,7 +158,9 @@ def mixture_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    """A mixture of SIZE_SHARE of the tokens there are. Its shares are the targets as long as the repetition limits let
+    it; else the exponent gives way just so far that the size is met."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), size_share=SIZE_SHARE)
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,26 +11,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.session import cut
 from palimpsest.sources.tables import table
 
 K = 10
-#: Vectors (by a hash of the id, evenly over the group) from which a group's pivots are drawn, and pivots by size of the group.
-SAMPLE, PIVOTS_LEAST, PIVOTS_MOST = 4096, 16, 2048
+#: A group has PIVOTS times the root of its size as pivots, at least PIVOTS_LEAST, drawn from at most SAMPLE vectors (by a
+#: hash of the id, evenly over the group) or, for more pivots, from as many vectors.
+PIVOTS, PIVOTS_LEAST, SAMPLE = 2, 16, 4096
 #: Pivots of a vector's order, those it is posted under, and those a query looks under.
-ORDER, POSTED, LOOKED = 16, 6, 8
-#: Candidates of a posting list kept by footrule for the comparison by cosine, for each wanted neighbour.
-RERANK = 48
-#: Vectors of a posting list compared in one task; longer lists are cut into blocks.
-BLOCK = 2048
-EXACT_BELOW = 600
+ORDER, POSTED, LOOKED = 24, 8, 12
+#: Of each posting list this share, the nearest by footrule, is compared by cosine, but at least and at most so many for each wanted neighbour.
+NEAR_SHARE, NEAR_LEAST, NEAR_MOST = 0.5, 2, 48
+#: Postings and queries of a list compared in one task; longer lists are cut into blocks on both sides.
+BLOCK = 4096
+#: Smaller groups are compared whole.
+EXACT_BELOW = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Vectors that take part: rid, grp (kind and model), vec scaled to length 1.
+    """Vectors that take part: rid, grp (kind and model), vec.
 
     Of each (kind, model, item_id) only the largest rid; not if its vec is null, all zeros, holds a null or NaN or has
     another length than most of its model, or than the number in the model's name says.
@@ -45,19 +47,26 @@ def usable(vectors: DataFrame) -> DataFrame:
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     rows = rows.where(F.col("size") == wanted).withColumn("norm", norm).where("norm > 0")
     grp = F.concat_ws("|", F.coalesce("kind", F.lit("")), F.coalesce("model", F.lit("")))
-    return rows.select("rid", grp.alias("grp"), F.transform("vec", lambda x: x.cast("double") / F.col("norm")).alias("vec"))
+    return rows.select("rid", grp.alias("grp"), "vec")
+
+
+def _unit(vectors) -> np.ndarray:
+    """Vectors as rows of length 1."""
+    x = np.stack(vectors).astype(np.float64)
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def fit_pivots(rows: DataFrame) -> dict[str, np.ndarray]:
-    """Pivots of each group, drawn from a bounded sample of at most SAMPLE of its vectors."""
+    """Pivots of each group, drawn from a sample of it: about twice the root of its size."""
     sizes = {x.grp: x.n for x in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a kind and model
     pivots = {}
     for grp, n in sizes.items():
         if n < EXACT_BELOW:
             continue
-        share = F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * SAMPLE / n))
-        sample = np.array([x.vec for x in rows.where((F.col("grp") == grp) & share).orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select("vec").collect()])
-        wanted = int(min(PIVOTS_MOST, max(PIVOTS_LEAST, np.sqrt(n))))
+        wanted = int(max(PIVOTS_LEAST, PIVOTS * np.sqrt(n)))
+        most = max(SAMPLE, wanted)
+        share = F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * most / n)) + 1
+        sample = _unit([x.vec for x in rows.where((F.col("grp") == grp) & share).orderBy(F.xxhash64("rid"), "rid").limit(most).select("vec").collect()])
         rng = np.random.default_rng(7)
         pivots[grp] = sample[rng.choice(len(sample), min(wanted, len(sample)), replace=False)]
     return pivots
@@ -70,11 +79,12 @@ def _orders(vec: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def footrule(query: np.ndarray, rows: np.ndarray, pivots: int) -> np.ndarray:
     """Distances of pivot orders, each pair of a query and a row: summed shifts of the pivots' places; a pivot that
     isn't in an order counts as at its end."""
-    places = np.full((len(rows), pivots), ORDER, np.int16)
-    np.put_along_axis(places, rows, np.arange(ORDER, dtype=np.int16)[None, :].repeat(len(rows), 0), 1)
-    out = np.zeros((len(query), len(rows)), np.int32)
+    places = np.full((len(rows), pivots), ORDER, np.int8)
+    np.put_along_axis(places, rows, np.arange(rows.shape[1], dtype=np.int8)[None, :].repeat(len(rows), 0), 1)
+    places = np.ascontiguousarray(places.T)
+    out = np.zeros((len(query), len(rows)), np.int16)
     for place in range(query.shape[1]):
-        out += np.abs(places[:, query[:, place]].T - place)
+        out += np.abs(places[query[:, place]] - np.int8(place))
     return out
 
 
@@ -82,22 +92,34 @@ def _top(scores: np.ndarray, rids: np.ndarray, own: np.ndarray, k: int) -> tuple
     """Best k columns of each row by score and then smaller rid, the row's own rid left out: (row, column)."""
     scores = np.where(rids[None, :] == own[:, None], -np.inf, scores)
     k = min(k, scores.shape[1])
-    order = np.lexsort((np.broadcast_to(rids, scores.shape), -scores), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(own)), k)
-    columns = order.ravel()
-    keep = np.isfinite(scores[rows, columns])
-    return rows[keep], columns[keep]
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
+    rows, columns = np.nonzero((scores >= least) & np.isfinite(scores))  # with all that tie for the last place
+    order = np.lexsort((rids[columns], -scores[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], columns[place < k]
+
 
+def nearest_by_footrule(orders: np.ndarray, index: np.ndarray, pivots: int, k: int) -> np.ndarray:
+    """For each query order which rows of a posting list are compared: those nearest by footrule, ties included."""
+    keep = int(min(NEAR_MOST * k, max(NEAR_LEAST * k, NEAR_SHARE * len(index))))
+    far = footrule(orders, index, pivots)
+    if len(index) <= keep:
+        return np.ones(far.shape, bool)
+    return far <= np.partition(far, keep - 1, axis=1)[:, keep - 1 : keep]
 
-def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
+
+def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """The ``k`` most similar vectors of each usable one, of the same kind and model: rid, other, score.
 
     By cosine, rounded to 9 digits, and then smaller rid; all others if there are fewer. Copies count as any vector.
+    Every vector is posted; lists of any length are compared in blocks of postings and of queries.
     """
     rows = cut(usable(vectors))
     spark = rows.sparkSession
     pivots = fit_pivots(rows)
-    shared = spark.sparkContext.broadcast(pivots)  # at most PIVOTS_MOST vectors a kind and model
+    shared = spark.sparkContext.broadcast(pivots)  # about twice the root of a group's size
+    columns = ["grp", "post", "query", "rid", "vec", "order"]
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -105,50 +127,44 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
                 part = part.reset_index(drop=True)
                 if grp not in shared.value:
                     part = part.assign(order=[[]] * len(part), post=-1)
-                    yield pd.concat([part.assign(query=False), part.assign(query=True)])[["grp", "post", "query", "rid", "vec", "order"]]
+                    yield pd.concat([part.assign(query=False), part.assign(query=True)])[columns]
                     continue
-                vec = np.stack(part["vec"].to_numpy())
-                order = _orders(vec, shared.value[grp])
-                part["order"] = list(order.astype(np.int16))
+                order = _orders(_unit(part["vec"].to_numpy()), shared.value[grp])
+                part["order"] = list(order.astype(np.int32))
                 for place in range(max(POSTED, LOOKED)):
                     posted = part.assign(post=order[:, place].astype(np.int32))
-                    if place < POSTED:
-                        yield posted.assign(query=False)[["grp", "post", "query", "rid", "vec", "order"]]
-                    if place < LOOKED:
-                        yield posted.assign(query=True)[["grp", "post", "query", "rid", "vec", "order"]]
-
-    schema = "grp string, post int, query boolean, rid bigint, vec array<double>, order array<smallint>"
-    posts = rows.mapInPandas(post, schema)
-    sizes = posts.where("not query").groupBy("grp", "post").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    posts = posts.join(F.broadcast(sizes), ["grp", "post"], "left")  # at most PIVOTS_MOST rows a kind and model
-    block: Column = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    indexed = F.when(~F.col("query"), F.array(block))
-    posts = posts.withColumn("block", F.explode(F.coalesce(indexed, F.sequence(F.lit(0), F.col("blocks") - 1))))
+                    yield from (posted.assign(query=query)[columns] for query, most in ((False, POSTED), (True, LOOKED)) if place < most)
+
+    posts = rows.mapInPandas(post, "grp string, post int, query boolean, rid bigint, vec array<float>, order array<int>")
+    parts = lambda of: F.greatest(F.ceil(F.count_if(of) / block), F.lit(1)).cast("int")
+    sizes = posts.groupBy("grp", "post").agg(parts(~F.col("query")).alias("ni"), parts(F.col("query")).alias("nj"))
+    posts = posts.join(F.broadcast(sizes), ["grp", "post"])  # a row a pivot
+    own = F.pmod(F.xxhash64("rid"), F.when(F.col("query"), F.col("nj")).otherwise(F.col("ni"))).cast("int")
+    every = F.sequence(F.lit(0), F.when(F.col("query"), F.col("ni")).otherwise(F.col("nj")) - 1)
+    posts = posts.select(*columns, own.alias("own"), F.explode(every).alias("all"))
+    posts = posts.select(*columns, F.when(F.col("query"), F.col("all")).otherwise(F.col("own")).alias("i"), F.when(F.col("query"), F.col("own")).otherwise(F.col("all")).alias("j"))
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        index = frame[~frame["query"]]
+        index, asked = frame[~frame["query"]], frame[frame["query"]]
         found = {"rid": [], "other": [], "score": []}
-        if len(index):
-            rids, vec = index["rid"].to_numpy(), np.stack(index["vec"].to_numpy())
+        if len(index) and len(asked):
+            rids, vec = index["rid"].to_numpy(), _unit(index["vec"].to_numpy())
             exact = key[0] not in shared.value
-            if not exact:
-                orders, n = np.stack(index["order"].to_numpy()).astype(np.int64), len(shared.value[key[0]])
-            asked = frame[frame["query"]]
+            orders = None if exact else np.stack(index["order"].to_numpy()).astype(np.int64)
             for at in range(0, len(asked), 256):
                 some = asked.iloc[at : at + 256]
                 own = some["rid"].to_numpy()
-                score = np.round(np.stack(some["vec"].to_numpy()) @ vec.T, 9)
-                if not exact and len(rids) > RERANK * k:
-                    far = footrule(np.stack(some["order"].to_numpy()).astype(np.int64), orders, n)
-                    bound = np.partition(far, RERANK * k, axis=1)[:, RERANK * k : RERANK * k + 1]
-                    score = np.where(far <= bound, score, -np.inf)
+                score = np.round(_unit(some["vec"].to_numpy()) @ vec.T, 9)
+                if not exact:
+                    near = nearest_by_footrule(np.stack(some["order"].to_numpy()).astype(np.int64), orders, len(shared.value[key[0]]), k)
+                    score = np.where(near, score, -np.inf)
                 r, c = _top(score, rids, own, k)
                 found["rid"].append(own[r])
                 found["other"].append(rids[c])
                 found["score"].append(score[r, c])
         return pd.DataFrame({name: np.concatenate(x) if x else [] for name, x in found.items()}).astype({"rid": "int64", "other": "int64", "score": "float64"})
 
-    near = posts.groupBy("grp", "post", "block").applyInPandas(compare, "rid bigint, other bigint, score double").distinct()
+    near = posts.groupBy("grp", "post", "i", "j").applyInPandas(compare, "rid bigint, other bigint, score double").distinct()
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "other"))), 1, k)
     return near.groupBy("rid").agg(best.alias("best")).select("rid", F.explode("best").alias("x")).select("rid", F.col("x.other").alias("other"), (-F.col("x.s")).alias("score"))
 
