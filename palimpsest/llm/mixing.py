@@ -19,7 +19,7 @@ BLOCK_TOKENS = 2_000_000
 #: How far, in half the sum of all differences, shares may be off the targets to let the mixture grow.
 MOST_OFF = 0.02
 #: Wanted tokens of the registered mixture, as a share of the tokens that the sources with targets have.
-SIZE_SHARE = 0.25
+SIZE_SHARE = 0.4
 ROUNDS = 60
 
 

@@ -1,8 +1,9 @@
 """Texts cut off before their end (problem 9).
 
-Evidence, all by prefixes: the whole text is a strict prefix of a longer text; its last words are a strict prefix of
-what goes on elsewhere (word sequences of the corpus, completed inside the word or by a next word) and hardly ever end a
-sentence or line; or its length is one at which far more texts of its source end than at the lengths around.
+Evidence by prefixes: the whole text is a strict prefix of a longer text; or its last words are a strict prefix of what
+goes on elsewhere (word sequences of the corpus, completed inside the word or by a next word) and hardly ever end a
+sentence or line. Besides: its length is one at which far more texts of its source end than at the lengths around; a
+fence or brace is left open; or it ends in a broken character.
 """
 
 from __future__ import annotations
@@ -28,34 +29,49 @@ LIMIT_LEAST, LIMIT_TIMES, LIMIT_AROUND = 8, 10.0, 50
 SHORT = 4
 FLUSH = 400_000
 
-_TOKEN = re.compile(r"\w+|\n|[^\w\s]")
+#: Letters of the shortest prefix that is hashed; the others have two, four, eight ... times as many. Shorter texts are no prefixes of others.
+PREFIX = 8
+
+_WORD = re.compile(r"(\w+)(\W*)")
+_MARKS = re.compile(r"\n|\S")
 _DIGITS = re.compile(r"\d+")
 _JOIN = frozenset(("and", "und", "et", "y"))
 _TERMINAL = r"[.!?)\]}\"»”`:;]"
 _SHOWS_NOTHING = " \t\n\r\x0b\x0c\u00a0…�"
 
 
+_gaps: dict[str, str] = {}
+
+
+def _gap(gap: str) -> str:
+    """What stands between two words: W blanks only, E an end, N another mark, L a full stop that a small letter behind it undoes."""
+    marks = _MARKS.findall(gap)
+    if not marks:
+        return "W"
+    if marks[0] in ".!?…":
+        if marks[0] != ".":
+            return "E"
+        return "L" if len(marks) == 1 else "E" if marks[1] == "\n" or not marks[1].islower() else "N"
+    return "E" if marks[0] == "\n" else "N"
+
+
 def _words(text: str) -> list[tuple[str, str]]:
     """(word, what follows) - follows: E end of a sentence or line, F end of the text, M a word, N anything else."""
-    tokens = _TOKEN.findall(text)
-    out, last = [], len(tokens) - 1
-    for i, token in enumerate(tokens):
-        if not (token[0].isalnum() or token[0] == "_"):
-            continue
-        if i == last:
-            follows = "F"
-        else:
-            after = tokens[i + 1]
-            if after in ".!?…":
-                further = tokens[i + 2] if i + 2 <= last else "\n"
-                follows = "E" if after != "." or further == "\n" or not further[0].islower() else "N"
-            elif after == "\n":
-                follows = "E"
-            elif after[0].isalnum() or after[0] == "_":
-                follows = "N" if after in _JOIN else "M"
-            else:
-                follows = "N"
-        out.append((_DIGITS.sub("0", token.lower()), follows))
+    found = _WORD.findall(text)
+    words = [w.lower() for w, _ in found]
+    words = [_DIGITS.sub("0", w) if not w.isalpha() else w for w in words]
+    out, last = [], len(found) - 1
+    for i, (_, gap) in enumerate(found):
+        kind = _gaps.get(gap)
+        if kind is None:
+            kind = _gap(gap)
+            if len(gap) <= 4 and len(_gaps) < 100_000:
+                _gaps[gap] = kind
+        if kind == "W":
+            kind = "F" if i == last else "N" if found[i + 1][0] in _JOIN else "M"
+        elif kind == "L":
+            kind = "N" if i < last and found[i + 1][0][0].islower() else "E"
+        out.append((words[i], kind))
     return out
 
 
@@ -85,10 +101,21 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _last_words(text: str) -> list[tuple[str, str]]:
+    """Words of the end of a text that holds its whole last sentence or line and the three words before its last one."""
+    size = 400
+    while size < len(text):
+        words = _words(text[-size:])
+        if len(words) > 6 and any(follows != "M" for _, follows in words[1:-4]):
+            return words[1:]
+        size *= 4
+    return _words(text)
+
+
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Last three words of each stem, and how many words its last sentence or line has."""
     for batch in batches:
-        words = [_words(t[-400:]) for t in batch.column(1).to_pylist()]
+        words = [_last_words(t) for t in batch.column(1).to_pylist()]
         found = [([("", "^", "", "")] + list(_in_context(x)))[-1][:3] for x in words]
         units = [next((n for n, (_, follows) in enumerate(reversed(x[:-1]), 1) if follows != "M"), len(x)) for x in words]
         columns = [batch.column(0), *(pa.array([x[j] for x in found], pa.string()) for j in range(3)), pa.array(units, pa.int32())]
@@ -109,41 +136,26 @@ def _key(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 24)
 
 
-def longer_copies(stems: DataFrame, partitions: int | None = None) -> DataFrame:
+def longer_copies(stems: DataFrame) -> DataFrame:
     """For each stem that a longer one begins with: key and ``follows``, the next characters of the longer one.
 
-    The distinct stems are sorted over all partitions; the next one in that order is longer and begins with this one
-    if any does. The last of a partition looks at the first of the next.
+    ``stems``: stem, key. Prefixes of PREFIX, twice, four times ... as many letters are hashed. A stem meets those that
+    share the longest of these that it has; where there are longer ones, these also hash their prefixes of just the lengths
+    that shorter stems there have, and meet them by that hash. Only hashes move; the digest of the prefix decides.
     """
-    spark = stems.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stems.select("stem").repartitionByRange(n, "stem").sortWithinPartitions("stem").withColumn("part", F.spark_partition_id())
-    ranged = cut(ranged)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, part = None, None
-        names = ["stem", "follows", "part"]
-        for batch in batches:
-            rows, stems_, follows = batch.column(0).to_pylist(), [], []
-            for s in rows:
-                if before is not None and s.startswith(before) and len(s) > len(before):
-                    stems_.append(before)
-                    follows.append(s[len(before) : len(before) + 40])
-                before = s
-            if len(rows):
-                part = batch.column(1)[len(rows) - 1].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(stems_, pa.string()), pa.array(follows, pa.string()), pa.array([None] * len(stems_), pa.int32())], names)
-        if before is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([before]), pa.array([None], pa.string()), pa.array([part], pa.int32())], names)
-
-    found = ranged.mapInArrow(compare, "stem string, follows string, part int")
-    inner = found.where("follows is not null").select("stem", "follows")
-    ends = found.where("part is not null").select("stem", F.col("part").alias("p"))
-    firsts = ranged.groupBy("part").agg(F.min("stem").alias("first"))
-    nxt = ends.join(firsts, F.col("part") > F.col("p")).groupBy("p").agg(F.max("stem").alias("stem"), F.min_by("first", "part").alias("next"))  # a row a partition
-    edge = nxt.where(F.col("next").startswith(F.col("stem")) & (F.length("next") > F.length("stem")))
-    edge = edge.select("stem", F.expr("substring(next, length(stem) + 1, 40)").alias("follows"))
-    return inner.union(edge).select(_key(F.col("stem")).alias("key"), "follows")
+    size = F.length("stem")
+    most = F.floor(F.log2(size / PREFIX)).cast("int")
+    levels = F.transform(F.sequence(F.lit(0), F.col("most")), lambda k: F.struct(k.alias("level"), F.xxhash64(F.substring("stem", F.lit(1), F.pow(F.lit(2), k).cast("int") * PREFIX)).alias("prefix")))
+    hashed = stems.where(size >= PREFIX).withColumn("most", most).select("key", size.alias("size"), "most", F.inline(levels))
+    hashed = cut(hashed)
+    own = F.when(F.col("most") == F.col("level"), F.col("size"))
+    met = hashed.groupBy("level", "prefix").agg(F.collect_set(own).alias("lengths"), F.max("size").alias("longest"))
+    met = met.where("size(lengths) > 0").withColumn("lengths", F.filter("lengths", lambda n: n < F.col("longest"))).where("size(lengths) > 0")
+    asked = hashed.join(met, ["level", "prefix"]).select("key", F.filter("lengths", lambda n: n < F.col("size")).alias("lengths")).where("size(lengths) > 0")
+    asked = asked.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("lengths"))).alias("lengths"))
+    longer = stems.join(asked, "key").select("stem", F.explode("lengths").alias("size"))
+    longer = longer.select(_key(F.expr("substring(stem, 1, size)")).alias("key"), F.expr("substring(stem, size + 1, 40)").alias("follows"))
+    return longer.join(stems.select("key"), "key", "left_semi").distinct()
 
 
 def end_shares(texts: DataFrame, tails: DataFrame) -> DataFrame:
@@ -199,7 +211,7 @@ def norm_source(source: Column) -> Column:
 
 
 def truncated(documents: DataFrame) -> DataFrame:
-    """One row per document with ``cut``: doc_id, source (normalised), cut.
+    """One row per document with ``cut``: doc_id, source (normalised), cut, evidence (null if it isn't cut).
 
     Null and empty texts aren't cut. Copies of a text are judged once and alike; doc_id isn't assumed to be unique.
     """
@@ -236,9 +248,9 @@ def truncated(documents: DataFrame) -> DataFrame:
     broken_off = F.col("unended") & ~item & (share < END_SHARE) & (F.col("more") > 0)
     by_copy = F.coalesce("goes_on", F.lit(False))
     limit = F.coalesce("at_chars", "at_bytes", F.lit(False))
-    is_cut = by_copy | F.coalesce(broken_off, F.lit(False)) | limit | F.col("unclosed") | F.coalesce("broken", F.lit(False))
-    same = judged.groupBy("key").agg(F.max(is_cut).alias("cut"))
-    return slim.select("doc_id", "source", "key").join(same, "key").select("doc_id", "source", "cut")
+    evidence = F.when(by_copy, "longer copy").when(F.coalesce(broken_off, F.lit(False)), "words go on").when(limit, "length").when(F.col("unclosed"), "left open").when(F.coalesce("broken", F.lit(False)), "broken character")
+    same = judged.groupBy("key").agg(F.min(evidence).alias("evidence"))
+    return slim.select("doc_id", "source", "key").join(same, "key").select("doc_id", "source", F.col("evidence").isNotNull().alias("cut"), "evidence")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,5 +263,10 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("cut").alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates}
+def p9_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut documents by what tells them."""
+    return truncated(table(spark, sf_dir, "documents")).where("cut").groupBy("evidence").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates, "p9_evidence": p9_evidence}
 SQL: dict[str, str] = {}
