@@ -2,63 +2,75 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import norm_entity
 from palimpsest.operators.segments import carry_last, carry_next
 from palimpsest.session import cut
 
+#: Children of a node of the Merkle tree, and rows of a leaf.
+FANOUT, LEAF_ROWS = 16, 64
+
 UNCOUNTED = ("retracted", "cancelled", "unconfirmed")
 ATTRIBUTE = ["subject_norm", "relation_norm"]
 
 
-def with_leaf(df: DataFrame, keys: list[str], fanout: int, depth: int) -> DataFrame:
-    """Adds ``_leaf``, the key's bucket among fanout ** depth."""
-    return df.withColumn("_leaf", F.pmod(F.xxhash64(*keys), F.lit(fanout**depth)))
-
+def tree_depth(rows: int, fanout: int = FANOUT, leaf_rows: int = LEAF_ROWS) -> int:
+    """Levels below the root so that a leaf holds about ``leaf_rows`` rows, however many there are."""
+    return max(1, math.ceil(math.log(max(rows, 1) / leaf_rows, fanout))) if rows > leaf_rows else 1
 
-def leaf_digests(df: DataFrame, columns: list[str], side: str) -> DataFrame:
-    """Digest and count of each bucket's rows, whatever their order. Rows must be unique."""
-    return df.groupBy("_leaf").agg(
-        F.bit_xor(F.xxhash64(*columns, F.lit(1))).alias(f"{side}_a"),
-        F.bit_xor(F.xxhash64(F.lit(2), *columns)).alias(f"{side}_b"),
-        F.count(F.lit(1)).alias(f"{side}_n"),
-    )
 
+@dataclass(frozen=True)
+class Snapshot:
+    """Rows of unique keys in hash buckets (the leaves), and a digest of each leaf, made once and kept."""
 
-def differing_leaves(old: DataFrame, new: DataFrame, columns: list[str], fanout: int, depth: int) -> DataFrame:
-    """Buckets whose digests differ, found from the root down: a level looks only below nodes that differ.
+    rows: DataFrame
+    digests: DataFrame
 
-    ``old`` and ``new`` have ``_leaf``; the tables of digests have at most fanout ** depth rows.
-    """
-    both = leaf_digests(old, columns, "old").join(leaf_digests(new, columns, "new"), "_leaf", "full")
-    for level in range(depth + 1):
-        node = Window.partitionBy(F.floor(F.col("_leaf") / fanout ** (depth - level)))
+    @classmethod
+    def of(cls, df: DataFrame, keys: list[str], values: list[str], depth: int, fanout: int = FANOUT) -> Snapshot:
+        rows = cut(df.select(*keys, *values, F.pmod(F.xxhash64(*keys), F.lit(fanout**depth)).alias("_leaf")))
+        columns = [*keys, *values]
+        digests = rows.groupBy("_leaf").agg(F.bit_xor(F.xxhash64(*columns, F.lit(1))).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), *columns)).alias("b"), F.count(F.lit(1)).alias("n"))
+        return cls(rows, cut(digests))
 
-        def digest(side: str, node=node) -> Column:
-            of = F.when(F.col(f"{side}_n").isNotNull(), F.xxhash64("_leaf", f"{side}_a", f"{side}_b", f"{side}_n"))
-            return F.coalesce(F.bit_xor(of).over(node), F.lit(0))
 
-        both = both.withColumns({"_old": digest("old"), "_new": digest("new")}).where("_old <> _new").drop("_old", "_new")
-    return both.select("_leaf")
+def differing_leaves(old: Snapshot, new: Snapshot, depth: int, fanout: int = FANOUT) -> DataFrame:
+    """Leaves whose digests differ, found from the root down: a level looks only below nodes that differ. A node's
+    digest is that of the leaves below it."""
+    side = lambda s, name: s.digests.select("_leaf", F.xxhash64("_leaf", "a", "b", "n").alias(name))
+    both = side(old, "old").join(side(new, "new"), "_leaf", "full").select("_leaf", F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("new", F.lit(0)).alias("new"))
+    both = cut(both)
+    for level in range(depth):
+        below = F.floor(F.col("_leaf") / fanout ** (depth - level)).alias("_node")
+        nodes = both.groupBy(below).agg(F.bit_xor("old").alias("o"), F.bit_xor("new").alias("n")).where("o <> n").select("_node")
+        if level == 0 and nodes.isEmpty():
+            return both.where(F.lit(False)).select("_leaf")
+        if level:
+            both = both.withColumn("_node", below).join(nodes, "_node", "left_semi").drop("_node")
+    return both.where("old <> new").select("_leaf")
 
 
-def snapshot_changes(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], fanout: int = 16, depth: int = 3) -> DataFrame:
+def snapshot_changes(old: DataFrame | Snapshot, new: DataFrame | Snapshot, keys: list[str], values: list[str], fanout: int = FANOUT, depth: int | None = None) -> DataFrame:
     """Rows that differ between two snapshots: keys, the new values, and ``op`` (put or drop).
 
-    Keys must be unique in each snapshot; null keys and values compare as values. Only rows of differing buckets are
-    compared; their list has at most fanout ** depth entries, so it can be broadcast.
+    Keys must be unique in each snapshot; null keys and values compare as values. Only rows of differing leaves are
+    compared.
     """
-    columns = [*keys, *values]
-    old, new = (with_leaf(x.select(*columns), keys, fanout, depth) for x in (old, new))
-    leaves = F.broadcast(differing_leaves(old, new, columns, fanout, depth))
+    if depth is None:
+        depth = tree_depth(max(x.count() for x in (old, new) if isinstance(x, DataFrame)), fanout)
+    old, new = (x if isinstance(x, Snapshot) else Snapshot.of(x, keys, values, depth, fanout) for x in (old, new))
+    leaves = differing_leaves(old, new, depth, fanout)
     digest = F.xxhash64(*values)
-    a = old.join(leaves, "_leaf", "left_semi").select(*(F.col(k).alias(f"_{k}") for k in keys), digest.alias("_was"), F.lit(True).alias("_in_old"))
-    b = new.join(leaves, "_leaf", "left_semi").select(*columns, digest.alias("_is"), F.lit(True).alias("_in_new"))
-    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    a = old.rows.join(leaves, "_leaf", "left_semi").select("_leaf", *(F.col(k).alias(f"_{k}") for k in keys), digest.alias("_was"), F.lit(True).alias("_in_old"))
+    b = new.rows.join(leaves, "_leaf", "left_semi").select("_leaf", *keys, *values, digest.alias("_is"), F.lit(True).alias("_in_new"))
+    a = a.withColumnRenamed("_leaf", "__leaf")
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.col("_leaf") == F.col("__leaf"))
     changed = b.join(a, same, "full").where("_in_new is null or _in_old is null or _was <> _is")
     return changed.select(
         *(F.when(F.col("_in_new"), F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in keys),
@@ -99,18 +111,21 @@ def as_known(rows: DataFrame, until: float | None) -> DataFrame:
     return known.groupBy(*ATTRIBUTE, "valid_from").agg(last).select(*ATTRIBUTE, "valid_from", "last.*")
 
 
-def change_log(rows: DataFrame, snapshots: int = 3, fanout: int = 16, depth: int = 3) -> DataFrame:
+def change_log(rows: DataFrame, snapshots: int = 3, fanout: int = FANOUT) -> DataFrame:
     """Changes of each of ``snapshots`` periodic snapshots against the one before, with its number.
 
-    The periods part the time of storing evenly; the first snapshot is compared with an empty one.
+    The periods part the time of storing evenly; the first snapshot is compared with an empty one. Each snapshot's
+    leaves are hashed once, and their number grows with the rows.
     """
-    low, high = rows.where("created_at > double('-infinity')").agg(F.min("created_at"), F.max("created_at")).first()
+    first = F.min(F.when(F.col("created_at") > float("-inf"), F.col("created_at")))
+    low, high, n = rows.agg(first, F.max("created_at"), F.count(F.lit(1))).first()
     ends = [] if low is None else [low + (high - low) * (k + 1) / snapshots for k in range(snapshots - 1)]
-    keys, values = [*ATTRIBUTE, "valid_from"], ["value", "negated", "id"]
-    logs, old = [], as_known(rows, None).where(F.lit(False))
+    keys, values, depth = [*ATTRIBUTE, "valid_from"], ["value", "negated", "id"], tree_depth(n, fanout)
+    logs, old = [], None
     for number, until in enumerate([*ends, None], 1):
-        new = cut(as_known(rows, until))
-        logs.append(snapshot_changes(old, new, keys, values, fanout, depth).withColumn("snapshot", F.lit(number)))
+        new = Snapshot.of(as_known(rows, until), keys, values, depth, fanout)
+        changes = new.rows.drop("_leaf").withColumn("op", F.lit("put")) if old is None else snapshot_changes(old, new, keys, values, fanout, depth)
+        logs.append(changes.withColumn("snapshot", F.lit(number)))
         old = new
     return reduce(DataFrame.unionByName, logs)
 

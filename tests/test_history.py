@@ -1,6 +1,6 @@
 import random
 
-from palimpsest.operators.history import attribute_history, snapshot_changes
+from palimpsest.operators.history import Snapshot, attribute_history, differing_leaves, snapshot_changes, tree_depth
 
 FACTS = "id string, subject_norm string, relation_norm string, object string, modality string, status string, valid_from double, created_at double, block string, _leaf string"
 RELATIONS = [("drives", 1), ("likes", 0)]
@@ -57,3 +57,14 @@ def test_snapshot_changes(spark, rows):
     assert rows(snapshot_changes(old, new, ["k", "n"], ["v"], 4, 2)) == [("b", 1, "z", "put"), ("e", 1, "w", "put")]
     assert rows(snapshot_changes(new, old, ["k", "n"], ["v"], 4, 2)) == [("b", 1, "y", "put"), ("e", 1, None, "drop")]
     assert snapshot_changes(old, old, ["k", "n"], ["v"]).count() == 0
+
+
+def test_only_differing_leaves(spark):
+    assert [tree_depth(n) for n in (0, 64, 65, 1024, 1025, 10**6, 10**12)] == [1, 1, 1, 1, 2, 4, 9]
+    old = spark.range(5000).selectExpr("cast(id as string) as k", "id % 7 as v")
+    new = old.selectExpr("k", "case when k in ('17', '4000') then 99 else v end as v")
+    a, b = (Snapshot.of(x, ["k"], ["v"], 3, 8) for x in (old, new))
+    assert differing_leaves(a, b, 3, 8).count() == 2 and differing_leaves(a, a, 3, 8).count() == 0
+    assert {(r.k, r.v) for r in snapshot_changes(a, b, ["k"], ["v"], 8, 3).collect()} == {("17", 99), ("4000", 99)}
+    empty = Snapshot.of(old.where("false"), ["k"], ["v"], 3, 8)
+    assert snapshot_changes(empty, b, ["k"], ["v"], 8, 3).count() == 5000 and snapshot_changes(b, empty, ["k"], ["v"], 8, 3).where("op = 'drop'").count() == 5000
