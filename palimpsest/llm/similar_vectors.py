@@ -73,7 +73,10 @@ def fit_pivots(rows: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _orders(vec: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.argsort(-(vec @ pivots.T), axis=1, kind="stable")[:, :ORDER]
+    near = vec @ pivots.T
+    some = np.argpartition(-near, ORDER - 1, axis=1)[:, :ORDER] if len(pivots) > ORDER else np.tile(np.arange(len(pivots)), (len(vec), 1))
+    some.sort(axis=1)  # ties go to the smaller pivot
+    return np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
 
 
 def footrule(query: np.ndarray, rows: np.ndarray, pivots: int) -> np.ndarray:
@@ -121,21 +124,16 @@ def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     shared = spark.sparkContext.broadcast(pivots)  # about twice the root of a group's size
     columns = ["grp", "post", "query", "rid", "vec", "order"]
 
-    def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for grp, part in frame.groupby("grp"):
-                part = part.reset_index(drop=True)
-                if grp not in shared.value:
-                    part = part.assign(order=[[]] * len(part), post=-1)
-                    yield pd.concat([part.assign(query=False), part.assign(query=True)])[columns]
-                    continue
-                order = _orders(_unit(part["vec"].to_numpy()), shared.value[grp])
-                part["order"] = list(order.astype(np.int32))
-                for place in range(max(POSTED, LOOKED)):
-                    posted = part.assign(post=order[:, place].astype(np.int32))
-                    yield from (posted.assign(query=query)[columns] for query, most in ((False, POSTED), (True, LOOKED)) if place < most)
-
-    posts = rows.mapInPandas(post, "grp string, post int, query boolean, rid bigint, vec array<float>, order array<int>")
+                known = shared.value.get(grp)
+                orders = [[-1]] * len(part) if known is None else list(_orders(_unit(part["vec"].to_numpy()), known).astype(np.int32))
+                yield part.assign(order=orders)[["grp", "rid", "vec", "order"]]
+
+    ordered = cut(rows.mapInPandas(order, "grp string, rid bigint, vec array<float>, order array<int>"))
+    under = lambda most, query: F.transform(F.slice("order", 1, most), lambda p: F.struct(F.lit(query).alias("query"), p.alias("post")))
+    posts = ordered.select("grp", "rid", "vec", "order", F.inline(F.concat(under(POSTED, False), under(LOOKED, True)))).select(*columns)
     parts = lambda of: F.greatest(F.ceil(F.count_if(of) / block), F.lit(1)).cast("int")
     sizes = posts.groupBy("grp", "post").agg(parts(~F.col("query")).alias("ni"), parts(F.col("query")).alias("nj"))
     posts = posts.join(F.broadcast(sizes), ["grp", "post"])  # a row a pivot
