@@ -4,10 +4,10 @@ import os
 
 import pytest
 
-from palimpsest.plans import history, hybrid, ledger, memory, recall, texts
+from palimpsest.plans import history, hybrid, ledger, memory, night, recall, texts
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = [history, texts, memory, recall, ledger, hybrid]
+MODULES = [history, texts, memory, recall, ledger, hybrid, night]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
