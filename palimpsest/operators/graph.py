@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.segments import ranked
 from palimpsest.session import cut
 
 
@@ -33,7 +34,9 @@ def communities(edges: DataFrame, rounds: int = 12, least: int = 3) -> DataFrame
     sizes = cut(labels.groupBy("label").agg(F.count(F.lit(1)).alias("members")))
     larger = sizes.where(F.col("members") >= least).groupBy("members").agg(F.count(F.lit(1)).alias("n"))
     # communities are numbered within their size; the offsets of the sizes, a few numbers, are joined back
-    ordered = sizes.where(F.col("members") >= least).selectExpr("label", "members", "row_number() over (partition by members order by label) - 1 as within")
+    kept = sizes.where(F.col("members") >= least).withColumn("_name", F.col("label").cast("string"))
+    ordered = ranked(kept.withColumn("_block", F.substring("_name", 1, 2)), ["members"], "_block", ["_name"], "within")
+    ordered = ordered.select("label", "members", (F.col("within") - 1).alias("within"))
     offsets = larger.alias("x").join(larger.alias("y"), F.col("y.members") > F.col("x.members"), "left").groupBy("x.members").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("offset"))
     named = ordered.join(offsets, "members").select("label", (F.col("within") + F.col("offset")).alias("community"))
     joined = labels.join(sizes, "label").join(named, "label", "left")

@@ -267,13 +267,22 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.array_position("p", top).alias("choice"), F.round(top, 6).alias("p_choice"), F.round((top - 1 / _LOGITS) / (1 - 1 / _LOGITS), 6).alias("confidence"), F.round(expected, 6).alias("expected"))
 
 
-@query(f"""WITH {_SOFT}, r AS (SELECT vec_id, p, list_reverse(p) AS q FROM p) SELECT vec_id, round(list_max([(p[i] + q[i]) / 2 FOR i IN range(1, {_LOGITS + 1})]), 6) AS averaged, list_position(p, list_max(p)) <> list_position(q, list_max(q)) AS flip FROM r""")
+def _soft_sql(first: int, name: str) -> str:
+    z = f"[CAST(x AS DOUBLE) * 10 FOR x IN embedding[{first}:{first + _LOGITS - 1}]]"
+    return f"[exp(v - list_max({z})) / list_sum([exp(u - list_max({z})) FOR u IN {z}]) FOR v IN {z}] AS {name}"
+
+
+@query(f"""WITH r AS (SELECT vec_id, {_soft_sql(1, 'p')}, {_soft_sql(1 + _LOGITS, 'shown')} FROM embeddings), s AS (SELECT vec_id, p, list_reverse(shown) AS q FROM r), m AS (SELECT *, [(p[i] + q[i]) / 2 FOR i IN range(1, {_LOGITS + 1})] AS mean FROM s)
+SELECT vec_id, list_position(mean, list_max(mean)) AS choice, round(list_max(mean), 6) AS averaged, list_position(p, list_max(p)) <> list_position(q, list_max(q)) AS flip FROM m""")
 def order_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two readings of the options in opposite orders, averaged, and whether they differ in their choice."""
-    rows = probabilities(table(spark, sf_dir, "embeddings")).withColumn("q", F.reverse("p"))
-    both = F.zip_with("p", "q", lambda a, b: (a + b) / 2)
+    """Two readings of the options, the second with the options in opposite order: that one is put back into the first
+    order, both are averaged, and they flip if they differ in their choice."""
+    rows = table(spark, sf_dir, "embeddings")
+    second = probabilities(rows.withColumn("embedding", F.slice("embedding", 1 + _LOGITS, _LOGITS))).select("vec_id", F.reverse("p").alias("q"))
+    rows = probabilities(rows).select("vec_id", "p").join(second, "vec_id")
+    rows = rows.withColumn("both", F.zip_with("p", "q", lambda a, b: (a + b) / 2))
     flip = F.array_position("p", F.array_max("p")) != F.array_position("q", F.array_max("q"))
-    return rows.select("vec_id", F.round(F.array_max(both), 6).alias("averaged"), flip.alias("flip"))
+    return rows.select("vec_id", F.array_position("both", F.array_max("both")).alias("choice"), F.round(F.array_max("both"), 6).alias("averaged"), flip.alias("flip"))
 
 
 _GRID = temperature_grid()

@@ -58,7 +58,15 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(redact(F.col("text"))).alias("digest"))
 
 
-_CELLS = {"windows": ["text", "index_text"], "actions": ["request_text", "args", "result_head", "result_tail"], "chunks": ["text", "title"]}
+#: Text columns of each table.
+_CELLS = {
+    "windows": ["ref", "session_id", "speaker", "text", "index_text", "header_source", "flags", "stream", "night_id"],
+    "actions": ["session_id", "context", "request_ref", "request_text", "tool", "args", "result_head", "result_tail", "task_id"],
+    "chunks": ["ref", "url", "title", "text", "content_hash", "headroom"],
+    "facts": ["subject", "relation", "object", "modality", "happens", "superseded_by", "status"],
+    "entities": ["name", "type", "aliases"],
+    "documents": ["text", "lang", "source", "origin"],
+}
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS cells, count(*) FILTER ({_sql_redact(c)} <> {c}) AS changed FROM {t}" for t, cs in _CELLS.items() for c in cs))
