@@ -12,7 +12,7 @@ from palimpsest.functions import words
 from palimpsest.functions.text import norm_entity, seconds
 from palimpsest.operators.search import B, IDF_FLOOR, K1, query_terms, similar_to, terms_of
 from palimpsest.operators.spans import overlaps, spans_of
-from palimpsest.session import cut
+from palimpsest.session import cut, small
 
 LIVE = ("active", "unconfirmed")
 HIDDEN = ("echo", "dropped", "ungrounded")
@@ -100,13 +100,15 @@ def candidates(windows: DataFrame, vectors: DataFrame, query: str, query_vector:
     rows = with_bm25(window_features(windows, terms, live_session), terms).join(F.broadcast(last_night))
     kept = F.lit(True) if scaffolding else ~F.col("continuity") & ~(F.col("action") & F.coalesce(F.col("said") <= F.col("last_night"), F.lit(True)))
     rows = rows.withColumn("kept", kept)
-    lexical = best(rows.where("bm25 > 0"), "bm25", w.pool * k).select("id", F.lit(True).alias("by_words"))
     near = similar_to(vectors, query_vector).select(F.col("item").alias("id"), graded("sim").alias("sim"))
-    scored = cut(near.join(rows, "id").where("kept"))
-    pool = best(scored, "sim", w.pool * k).select("id").union(lexical.select("id")).distinct()
-    pool = cut(scored.join(F.broadcast(pool), "id", "left_semi").join(F.broadcast(lexical), "id", "left"))
-    top = F.broadcast(rows.agg(F.max("bm25").alias("top")))
-    pool = pool.join(top).withColumns({"typed": F.lit(False), "in_scope": F.lit(False)})
+    rows = rows.where("kept or bm25 > 0").join(near, "id", "left").where("sim is not null or bm25 > 0")
+    rows = cut(rows)  # without the text and the vectors
+    lexical = small(best(rows.where("bm25 > 0").select("id", "bm25"), "bm25", w.pool * k))
+    like = best(rows.where("kept and sim is not null").select("id", "sim"), "sim", w.pool * k).select("id")
+    pool = rows.where("kept and sim is not null").join(F.broadcast(like.union(lexical.select("id")).distinct()), "id", "left_semi")
+    pool = small(pool.join(F.broadcast(lexical.select("id", F.lit(True).alias("by_words"))), "id", "left"))  # at most 2 * w.pool * k rows
+    top = lexical.agg(F.max("bm25").alias("top"))
+    pool = pool.join(F.broadcast(top)).withColumns({"typed": F.lit(False), "in_scope": F.lit(False)})
     if hint or scope:
         texts = windows.join(F.broadcast(pool.select("id")), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"), F.min(seconds(F.col("said"))).alias("said"))
         spans = spans_of(texts, ["id"])
@@ -177,7 +179,7 @@ def hop(touched: DataFrame, frontier: DataFrame, entities: DataFrame, similar: D
     closest = "row_number() over (partition by entity order by sim desc, fact_id)"
     near = near.withColumn("rn", F.expr(newest)).where(F.col("rn") <= w.newest).withColumn("rn", F.expr(closest)).where(F.col("rn") <= w.fanout)
     damp = F.least(F.lit(1.0), F.sqrt(w.hub / F.greatest("degree", F.lit(1))))
-    near = cut(near.withColumn("score", graded(F.greatest("sim", F.col("weight") * w.decay * damp))))
+    near = small(near.select("fact_id", "entity", "s", "o", graded(F.greatest("sim", F.col("weight") * w.decay * damp)).alias("score")))  # w.fanout facts of each entity
     reached = near.groupBy("fact_id").agg(F.max("score").alias("score"))
     others = near.select(F.explode(F.array("s", "o")).alias("next"), "entity", "score").where("next is not null and next <> entity and next <> ''").where(~F.col("next").isin(*skip))
     onward = others.groupBy(F.col("next").alias("entity")).agg(F.max("score").alias("weight")).join(entities.select("entity"), "entity", "left_semi")

@@ -12,7 +12,7 @@ from palimpsest.operators.search import latest_vectors, similar_to
 from palimpsest.operators.spans import time_scope
 from palimpsest.plans.base import SQL_F, SQL_W, clean_facts
 from palimpsest.plans.texts import _BM25_SQL, _LAST_SQL, _NORM, SEARCH
-from palimpsest.session import cut
+from palimpsest.session import cut, small
 from palimpsest.sources.tables import table
 
 MODEL, K, W = "emb-s64", 20, Weights()
@@ -28,23 +28,23 @@ def last_night(windows: DataFrame) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     rows = table(spark, sf_dir, "vectors").where((F.col("kind") == kind) & (F.col("model") == MODEL))
-    return cut(latest_vectors(rows).select("rid", F.col("item_id").alias("item"), "vec", "norm"))
+    return latest_vectors(rows).select("rid", F.col("item_id").alias("item"), "vec", "norm")
 
 
 def matched(spark: SparkSession, sf_dir: str, query: str = SEARCH, now: float | None = None, live_session: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items of a question before they are cut off (id, sim, score, via, action), similarities of facts, and the facts that
     were keys of them. The vector of the question is that of the first window."""
-    windows, facts, sources = table(spark, sf_dir, "windows"), clean_facts(spark, sf_dir), table(spark, sf_dir, "fact_sources")
+    windows, facts, sources = table(spark, sf_dir, "windows"), table(spark, sf_dir, "facts"), table(spark, sf_dir, "fact_sources")
     vectors = _vectors(spark, sf_dir, "window")
-    asked = cut(vectors.orderBy("rid").limit(1).select("vec", "norm"))
+    asked = small(vectors.orderBy("rid").limit(1).select("vec", "norm"))
     scope = time_scope(query, now) if now is not None else None
     items = candidates(windows, vectors, query, asked, last_night(windows), K, W, scope, live_session)
-    items = cut(items.select("id", "sim", "score", F.lit("match").alias("via"), "action"))
+    items = small(items.select("id", "sim", "score", F.lit("match").alias("via"), "action"))
     similar = cut(similar_to(_vectors(spark, sf_dir, "fact"), asked).select(F.col("item").alias("fact_id"), graded("sim").alias("sim")))
     hits = best(similar.where(F.col("sim") >= W.floor), "sim", K, "fact_id")
     live = hits.join(facts.where(F.col("status").isin(*LIVE)).select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
-    keys = cut(sourced(live.withColumnRenamed("sim", "score"), sources, items))
-    return cut(attached(items, keys, _flags(windows, keys), "fact")), similar, keys
+    keys = small(sourced(live.withColumnRenamed("sim", "score"), sources, items))
+    return small(attached(items, keys, _flags(windows, keys), "fact")), similar, keys
 
 
 def _flags(windows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def expanded_recall(spark: SparkSession, sf_dir: str, hops: int = 2) -> DataFram
     """
     items, similar, keys = matched(spark, sf_dir)
     windows, facts, sources = table(spark, sf_dir, "windows"), clean_facts(spark, sf_dir), table(spark, sf_dir, "fact_sources")
-    seeds = cut(best(items, "score", W.seeds).select("id", "sim", "score"))
+    seeds = small(best(items, "score", W.seeds).select("id", "sim", "score"))
     touched = cut(touching(facts))
     known = table(spark, sf_dir, "entities").select(F.col("id").alias("entity")).distinct()
     entities = cut(touched.groupBy("entity").agg(F.count(F.lit(1)).alias("degree")).join(known, "entity", "right").withColumn("degree", F.coalesce("degree", F.lit(0))))
@@ -95,21 +95,21 @@ def expanded_recall(spark: SparkSession, sf_dir: str, hops: int = 2) -> DataFram
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{L}&&[^\x00-\x7F]]", "_")
     named = texts.select(F.explode(F.array_except(F.regexp_extract_all(plain, F.lit(words.NAMES), 0), F.array(*map(F.lit, words.NAME_STOP)))).alias("name"), "weight")
     weights = of_facts.union(named.select(norm_entity(F.col("name")), "weight")).where(~F.col("entity").isin(*SKIP)).groupBy("entity").agg(F.max("weight").alias("weight"))
-    frontier = cut(best(weights.join(entities.select("entity"), "entity", "left_semi"), "weight", W.entities, "entity"))
+    frontier = small(best(weights.join(entities.select("entity"), "entity", "left_semi"), "weight", W.entities, "entity"))
     reached = None
     for _ in range(hops):
         facts_reached, onward = hop(touched, frontier, entities, similar, SKIP, W)
         reached = facts_reached if reached is None else reached.union(facts_reached)
-        frontier = cut(onward)
+        frontier = small(onward)
     reached = reached.groupBy("fact_id").agg(F.max("score").alias("score"))
-    found = cut(sourced(reached, sources, items))
-    items = cut(attached(items, found, _flags(windows, found), "link"))
+    found = small(sourced(reached, sources, items))
+    items = small(attached(items, found, _flags(windows, found), "link"))
 
     lines = _lines(spark, sf_dir, seeds)
     pairs = lines.select("id", "session_id", "said", "hidden", "text", "own", "stream")
     at = pairs.join(F.broadcast(pairs.join(seeds, "id").select(F.col("id").alias("seed"), "session_id", F.col("said").alias("seed_said"), "score", "sim", F.col("text").alias("seed_text"), F.col("own").alias("seed_own"), F.col("stream").alias("seed_stream"))), "session_id")
     place = F.struct("said", "id", "hidden", "text", "own", "stream")
-    beside = cut(at.groupBy("seed", "score", "sim", "seed_text", "seed_own", "seed_stream").agg(F.max(F.when(F.col("said") < F.col("seed_said"), place)).alias("before"), F.min(F.when(F.col("said") > F.col("seed_said"), place)).alias("after")))
+    beside = small(at.groupBy("seed", "score", "sim", "seed_text", "seed_own", "seed_stream").agg(F.max(F.when(F.col("said") < F.col("seed_said"), place)).alias("before"), F.min(F.when(F.col("said") > F.col("seed_said"), place)).alias("after")))
     faded = graded(F.col("score") * W.decay)
     near = beside.select(faded.alias("score"), "sim", F.explode(F.array("before", "after")).alias("x")).where("x.id is not null and not x.hidden").select(F.col("x.id").alias("id"), "sim", "score", F.lit("near").alias("via"))
     present = items.select("id", "sim", "score", "via", "action")

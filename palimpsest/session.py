@@ -35,3 +35,8 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` as a local table: only for rows that a limit or a fixed table bounds to a few hundred."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
