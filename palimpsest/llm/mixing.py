@@ -16,8 +16,8 @@ from palimpsest.sources.tables import table
 
 #: Tokens of a block of a source's permutation; each block is summed on its own.
 BLOCK_TOKENS = 2_000_000
-#: How far, in half the sum of all differences, shares may be off the targets to let the mixture grow.
-MOST_OFF = 0.02
+#: How far, in half the sum of all differences, the registered mixture's shares may be off the targets.
+MOST_OFF = 0.03
 #: Wanted tokens of the registered mixture, as a share of the tokens that the sources with targets have.
 SIZE_SHARE = 0.4
 ROUNDS = 60
@@ -63,14 +63,14 @@ class Weights:
     tokens: float
 
 
-def weights(targets: dict[str, float], room: dict[str, float], size: float | None = None, wanted_entropy: float | None = None, most_off: float = MOST_OFF) -> Weights:
+def weights(targets: dict[str, float], room: dict[str, float], size: float | None = None, wanted_entropy: float | None = None, most_off: float | None = None) -> Weights:
     """Shares of a mixture by one exponent.
 
     A share is proportional to target * (room share / target) ** (1 - exponent): 1 gives the targets, 0 the shares of
-    what there is with all allowed repetitions. The exponent is bisected to the lowest one that fits: with
-    ``wanted_entropy`` it is the room shares themselves that are raised to it until their entropy is met; with ``size``,
-    that whose mixture has that many tokens within the repetition limits (the highest exponent that does); else that whose
-    shares are at most ``most_off`` from the targets, for the largest mixture that the limits allow there.
+    what there is with all allowed repetitions. With ``size`` the exponent is bisected to the highest one whose mixture
+    has that many tokens within the repetition limits, and with ``most_off`` not below the lowest one whose shares are at
+    most so far from the targets; the mixture is then as large as the limits allow, up to ``size``. With neither it is 1.
+    With ``wanted_entropy`` it is the room shares themselves that are raised to the exponent until their entropy is met.
     """
     targets = tempered({s: p for s, p in targets.items() if room.get(s, 0) > 0}, 1.0)
     if not targets:
@@ -84,11 +84,10 @@ def weights(targets: dict[str, float], room: dict[str, float], size: float | Non
     def mixed(exponent: float) -> dict[str, float]:
         return tempered({s: p * (there[s] / p) ** (1 - exponent) for s, p in targets.items()}, 1.0)
 
-    if size is not None:
-        exponent = 1.0 - bisected(lambda x: largest_size(mixed(1.0 - x), room) >= size, 0.0, 1.0)
-        return Weights(mixed(exponent), exponent, min(size, largest_size(mixed(exponent), room)))
-    exponent = bisected(lambda e: off(mixed(e), targets) <= most_off, 0.0, 1.0)
-    return Weights(mixed(exponent), exponent, largest_size(mixed(exponent), room))
+    by_size = 0.0 if size is None else 1.0 - bisected(lambda x: largest_size(mixed(1.0 - x), room) >= size, 0.0, 1.0)
+    by_off = (size is None) * 1.0 if most_off is None else bisected(lambda e: off(mixed(e), targets) <= most_off, 0.0, 1.0)
+    exponent = max(by_size, by_off)
+    return Weights(mixed(exponent), exponent, min(size or math.inf, largest_size(mixed(exponent), room)))
 
 
 def measured_texts(documents: DataFrame) -> DataFrame:
@@ -98,7 +97,7 @@ def measured_texts(documents: DataFrame) -> DataFrame:
     return one.select("x.source", "x.doc_id", token_count(F.col("text")).alias("tokens")).where("tokens > 0")
 
 
-def planned(texts: DataFrame, targets: DataFrame, size: float | None, wanted_entropy: float | None, most_off: float, size_share: float | None = None) -> tuple[Weights, dict[str, int], dict[str, float]]:
+def planned(texts: DataFrame, targets: DataFrame, size: float | None, wanted_entropy: float | None, most_off: float | None, size_share: float | None = None) -> tuple[Weights, dict[str, int], dict[str, float]]:
     """Weights of the mixture, tokens there are and target shares, by source; a few rows on the driver."""
     wanted = targets.groupBy(norm_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("most"))
     plan = [x for x in wanted.collect() if x.share and x.share > 0 and x.most > 0]  # a fixed few
@@ -108,7 +107,7 @@ def planned(texts: DataFrame, targets: DataFrame, size: float | None, wanted_ent
     return weights({x.source: x.share for x in plan}, room, size, wanted_entropy, most_off), sums, {x.source: x.share for x in plan}
 
 
-def mixture(documents: DataFrame, targets: DataFrame, size: float | None = None, wanted_entropy: float | None = None, most_off: float = MOST_OFF, size_share: float | None = None, seed: int = 7, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, size: float | None = None, wanted_entropy: float | None = None, most_off: float | None = None, size_share: float | None = None, seed: int = 7, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Texts of the mixture: source, doc_id, copy, tokens, place, exponent.
 
     ``targets``: source, target_share, max_repeats; ``size``, ``wanted_entropy`` and ``most_off`` as in weights;
@@ -159,8 +158,8 @@ def mixture_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixture of SIZE_SHARE of the tokens there are. Its shares are the targets as long as the repetition limits let
-    it; else the exponent gives way just so far that the size is met."""
-    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), size_share=SIZE_SHARE)
+    it; else the exponent gives way until the size is met, or the shares are MOST_OFF from the targets."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), most_off=MOST_OFF, size_share=SIZE_SHARE)
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
