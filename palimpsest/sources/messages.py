@@ -46,7 +46,7 @@ def captured(messages: DataFrame, now: float, seen: DataFrame | None = None) ->
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = messages.withColumn("text", F.trim(flat_content(F.col("content")))).withColumn("session_id", empty("session_id"))
     calls = F.coalesce(F.to_json("tool_calls"), F.lit("[]"))
-    rows = rows.withColumn("message_hash", sha_id(F.col("session_id"), empty("role"), F.col("text"), empty("tool_call_id"), F.substring(calls, 1, 2000)))
+    rows = rows.withColumn("message_hash", sha_id(F.col("session_id"), empty("role"), F.col("text"), empty("tool_call_id"), calls))
     rows = rows.dropDuplicates(["session_id", "message_hash"])
     if seen is not None:
         rows = rows.join(seen.select("session_id", "message_hash"), ["session_id", "message_hash"], "left_anti")
