@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.history import attribute_history
-from palimpsest.operators.search import bm25
+from palimpsest.operators.recall import candidates, ranked_items
+from palimpsest.operators.search import bm25, latest_vectors
 from palimpsest.operators.spans import overlaps, scope_bound, spans_of, time_scope
-from palimpsest.plans import ledger, memory, texts
+from palimpsest.plans import hybrid, ledger, memory, texts
 from palimpsest.plans.base import clean_facts, clean_windows
+from palimpsest.session import small
 from palimpsest.sources.tables import table
 
 
@@ -27,6 +31,16 @@ class Memory:
         hits = bm25(clean_windows(self.spark, self.folder), query).orderBy(F.desc("bm25"), "item").limit(k)
         return clean_windows(self.spark, self.folder).join(F.broadcast(hits), F.col("id") == F.col("item")).select("id", "bm25", "speaker", "said", "text")
 
+    def ask(self, question: str, vector: list[float], now: float, k: int = 20, live_session: str | None = None) -> DataFrame:
+        """The best windows for a question and its vector, all circumstances counted: id, score, speaker, said, text."""
+        rows = self.table("vectors").where((F.col("kind") == "window") & (F.size("vec") == len(vector)))
+        vectors = latest_vectors(rows).select(F.col("item_id").alias("item"), "vec", "norm")
+        asked = self.spark.createDataFrame([(list(map(float, vector)), math.sqrt(sum(x * x for x in vector)))], "vec array<double>, norm double")
+        windows = self.table("windows")
+        found = candidates(windows, vectors, question, asked, hybrid.last_night(windows), k, scope=time_scope(question, now), live_session=live_session)
+        best = small(ranked_items(found, k, hybrid.W.steps).select("id", "score"))
+        return clean_windows(self.spark, self.folder).join(F.broadcast(best), "id").select("id", "score", "speaker", "said", "text")
+
     def facts(self, words: str = "", status: str | None = "active", since: float | None = None) -> DataFrame:
         """Facts that hold every word in subject, relation or object."""
         rows = clean_facts(self.spark, self.folder)

@@ -18,6 +18,8 @@ from palimpsest.plans.base import SQL_A, SQL_F, SQL_W, clean_actions, clean_fact
 from palimpsest.sources.tables import table
 
 QUERIES, SQL = {}, {}
+#: Capitalised words that name nobody.
+_NO_NAMES = [*words.NAME_STOP, words.AGENT]
 
 
 def query(oracle: str | None = None):
@@ -121,13 +123,41 @@ def with_previous(lines: DataFrame) -> DataFrame:
     return carry_last(ordered, ["session_id"], "block", "at", F.struct("text", "flags"), "prev")
 
 
-@query(f"""WITH {_LINES_SQL} SELECT id, '[' || coalesce(speaker, '?') || ' · ' || strftime(make_timestamp(CAST(floor(said) AS BIGINT) * 1000000), '%Y-%m-%d')
-  || CASE WHEN prev LIKE '%?' THEN ' · re: ' || left(prev, 200) ELSE '' END || ']' AS header FROM p""")
+#: The last question of a text, and what stands behind its last sentence's end.
+_LAST_QUESTION, _LAST_SENTENCE = r"([^.!?\n]*\?)[^?]*$", r"([^.!?\n]+[.!]*)\s*$"
+_ASKED_SQL = f"nullif(left(trim(CASE WHEN contains({{0}}, '?') THEN regexp_extract({{0}}, '{_LAST_QUESTION}', 1) ELSE regexp_extract({{0}}, '{_LAST_SENTENCE}', 1) END, ' '), 200), '')"
+_PLAIN_SQL = r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F\PL]', '_', 'g')"
+_OWN_SQL = "list_contains(string_split(coalesce(flags, ''), ' '), 'assistant')"
+
+
+def last_question(text: Column) -> Column:
+    """The last question of a text, or its last sentence, in at most 200 characters; null if there is neither."""
+    found = F.when(text.contains("?"), F.regexp_extract(text, _LAST_QUESTION, 1)).otherwise(F.regexp_extract(text, _LAST_SENTENCE, 1))
+    return F.nullif(F.substring(F.trim(found), 1, 200), F.lit(""))
+
+
+@query(rf"""WITH {SQL_W}, l AS (SELECT *, {_OWN_SQL} AS own, list_filter(regexp_extract_all({_PLAIN_SQL}, '{words.NAMES}'), lambda x, i: list_position(regexp_extract_all({_PLAIN_SQL}, '{words.NAMES}'), x) = i AND x NOT IN {tuple(_NO_NAMES)})[1:6] AS names
+  FROM w WHERE stream = 'conversation' AND said IS NOT NULL AND session_id IS NOT NULL),
+p AS (SELECT *, last_value(CASE WHEN own THEN text END IGNORE NULLS) OVER o AS by_own, last_value(CASE WHEN NOT own THEN text END IGNORE NULLS) OVER o AS by_other, last_value(CASE WHEN len(names) > 0 THEN names END IGNORE NULLS) OVER o AS before_names
+  FROM l WINDOW o AS (PARTITION BY session_id ORDER BY said, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT *, {_ASKED_SQL.format('CASE WHEN own THEN by_other ELSE by_own END')} AS asked FROM p)
+SELECT id, '[' || coalesce(speaker, '?') || ' · ' || strftime(make_timestamp(CAST(floor(said) AS BIGINT) * 1000000), '%Y-%m-%d') || coalesce(' · re: ' || asked, '') || coalesce(' · about ' || array_to_string(before_names, ', '), '') || ']' AS header
+FROM q WHERE length(trim(coalesce(text, ''), ' ')) < 60 OR regexp_matches(text, '{sql(words.ASSENT)}') OR regexp_matches(text, '{sql(words.POINTING)}')""")
 def context_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = with_previous(session_lines(spark, sf_dir))
+    """Headers of lines that mean little alone: who, when, the last question of the other side before, and the names of
+    the line before that has some (at most six)."""
+    lines = session_lines(spark, sf_dir).withColumn("own", F.array_contains(F.split(F.coalesce("flags", F.lit("")), " "), "assistant")).withColumn("at", F.struct("said", "id"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{L}&&[^\x00-\x7F]]", "_")
+    names = F.slice(F.array_except(F.array_distinct(F.regexp_extract_all(plain, F.lit(words.NAMES), 0)), F.array(*(F.lit(x) for x in _NO_NAMES))), 1, 6)
+    lines = lines.withColumn("names", F.when(F.size(names) > 0, names))
+    lines = carry_last(lines, ["session_id"], "block", "at", F.when(F.col("own"), F.col("text")), "by_own")
+    lines = carry_last(lines, ["session_id"], "block", "at", F.when(~F.col("own"), F.col("text")), "by_other")
+    lines = carry_last(lines, ["session_id"], "block", "at", F.col("names"), "before_names")
+    need = (F.length(F.trim(F.coalesce("text", F.lit("")))) < 60) | needs_context(F.col("text"))
     day = F.date_format(F.timestamp_seconds(F.floor("said")), "yyyy-MM-dd")
-    asked = F.when(F.col("prev.text").endswith("?"), F.concat(F.lit("re: "), F.substring("prev.text", 1, 200)))
-    return lines.select("id", F.concat(F.lit("["), F.concat_ws(" · ", F.coalesce("speaker", F.lit("?")), day, asked), F.lit("]")).alias("header"))
+    asked = last_question(F.when(F.col("own"), F.col("by_other")).otherwise(F.col("by_own")))
+    parts = F.concat_ws(" · ", F.coalesce("speaker", F.lit("?")), day, F.concat(F.lit("re: "), asked), F.concat(F.lit("about "), F.array_join("before_names", ", ")))
+    return lines.where(need).select("id", F.concat(F.lit("["), parts, F.lit("]")).alias("header"))
 
 
 _SH = "list_distinct([array_to_string({0}[i:i+4], ' ') FOR i IN range(1, len({0}) - 3)])"
@@ -160,9 +190,6 @@ def relation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_facts(spark, sf_dir).groupBy(norm_relation(F.col("relation")).alias("relation")).agg(F.count(F.lit(1)).alias("facts"))
 
 
-_NO_NAMES = [*words.NAME_STOP, words.AGENT]
-
-
 @query(rf"""WITH {SQL_W}, n AS (SELECT id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\PL]', '_', 'g'), '{words.NAMES}'))) AS name FROM w WHERE text IS NOT NULL)
 SELECT name, count(*) AS windows FROM n WHERE name NOT IN ({", ".join(f"'{x}'" for x in _NO_NAMES)}) GROUP BY 1""")
 def capital_names(spark: SparkSession, sf_dir: str) -> DataFrame:
