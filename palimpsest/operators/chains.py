@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from palimpsest.session import cut
 def resolve_chains(nodes: DataFrame, node: str = "node", parent: str = "parent", weight: str | None = None) -> DataFrame:
     """Root and depth of each node: columns ``node``, ``root``, ``depth``, ``status`` (ok, orphan, cycle).
 
-    Each round joins the table with itself and doubles the length of every pointer, so a chain of n nodes takes
-    log2(n) rounds. ``depth`` is the summed ``weight`` of the ancestors (1 each by default). A parent that is no node
+    Each round joins the nodes whose pointers are open with the table and doubles the length of these pointers, so a
+    chain of n nodes takes log2(n) rounds and short ones soon cost nothing. ``depth`` is the summed ``weight`` of the ancestors (1 each by default). A parent that is no node
     makes its descendants orphans, rooted at the topmost node that exists. Nodes on a cycle or below one keep a null
     root and depth. Null nodes are left out, repeated ones count once (the smallest parent holds); an empty table gives
     no rows.
@@ -31,27 +32,26 @@ def resolve_chains(nodes: DataFrame, node: str = "node", parent: str = "parent",
         (F.col("up").isNotNull() & F.col("w_up").isNull()).alias("orphan"),
     )
     state = cut(state)
-    open_nodes = state.where("up is not null").count()
+    done, still = [state.where("up is null")], state.where("up is not null")
+    open_nodes = still.count()
     for _ in range(math.ceil(math.log2(open_nodes + 1)) + 1 if open_nodes else 0):
-        above = state.select(F.col("node").alias("up"), *(F.col(c).alias(f"{c}_up") for c in ("up", "depth", "root", "orphan")))
-        state = cut(
-            state.join(above, "up", "left").select(
+        every = reduce(DataFrame.union, [*done, still])
+        above = every.select(F.col("node").alias("up"), *(F.col(c).alias(f"{c}_up") for c in ("up", "depth", "root", "orphan")))
+        step = cut(
+            still.join(above, "up").select(
                 "node",
                 F.col("up_up").alias("up"),
-                (F.col("depth") + F.coalesce("depth_up", F.lit(0))).alias("depth"),
-                F.coalesce("root_up", "root").alias("root"),
-                (F.col("orphan") | F.coalesce("orphan_up", F.lit(False))).alias("orphan"),
+                (F.col("depth") + F.col("depth_up")).alias("depth"),
+                F.col("root_up").alias("root"),
+                (F.col("orphan") | F.col("orphan_up")).alias("orphan"),
             )
         )
-        if state.where("up is not null").isEmpty():
+        done, still = [*done, step.where("up is null")], step.where("up is not null")
+        if still.isEmpty():
             break
-    done = F.col("up").isNull()
-    return state.select(
-        "node",
-        F.when(done, F.col("root")).alias("root"),
-        F.when(done, F.col("depth")).alias("depth"),
-        F.when(~done, "cycle").when(F.col("orphan"), "orphan").otherwise("ok").alias("status"),
-    )
+    found = reduce(DataFrame.union, done).select("node", "root", "depth", F.when(F.col("orphan"), "orphan").otherwise("ok").alias("status"))
+    lost = still.select("node", F.lit(None).cast(still.schema["root"].dataType), F.lit(None).cast("bigint"), F.lit("cycle"))
+    return found.union(lost)
 
 
 def linked_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
