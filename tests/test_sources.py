@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -61,7 +62,9 @@ def source(spark, tmp_path, schema, *batches):
     folder = tmp_path / "in"
     folder.mkdir()
     for n, batch in enumerate(batches):
-        (folder / f"{n}.json").write_text("".join(json.dumps(x) + "\n" for x in batch))
+        path = folder / f"{n}.json"
+        path.write_text("".join(json.dumps(x) + "\n" for x in batch))
+        os.utime(path, (1.7e9 + n * 60, 1.7e9 + n * 60))  # files are read in the order of their times
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
 
 
