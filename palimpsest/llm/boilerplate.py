@@ -153,12 +153,13 @@ class Wrapper:
 
     def expression(self) -> str:
         """Tokens, (optional)?, (repeated)+ and slots, a slot with the tokens that recur in it: [text a? b?]."""
-        parts = []
+        often = sorted(str(t) for t, n in self.inside[1].items() if n >= max(2, OWN_SHARE * self.pages))
+        slot = "[" + " ".join(["text", *(f"{t}?" for t in often)]) + "]"
+        parts = [slot] if self.slot < 0 and self.pages else []  # above all fixed tokens
         for i, (token, support, _, times) in enumerate(self.fixed):
             parts.append(f"({token}){'+' if times > 1 else '?'}" if times > 1 or support < self.pages else str(token))
             if i == self.slot:
-                often = sorted(str(t) for t, n in self.inside[1].items() if n >= max(2, OWN_SHARE * self.pages))
-                parts.append("[" + " ".join(["text", *(f"{t}?" for t in often)]) + "]")
+                parts.append(slot)
         return " ".join(parts)
 
 
